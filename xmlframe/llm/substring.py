@@ -42,11 +42,14 @@ BLOCK = 1 << 20
 FAN_IN = 64
 #: Ids of exact copies that are broadcast, at most (8 bytes each).
 MOST_COPIES = 4_000_000
+#: Frequent windows that are broadcast with their smallest document, at most (20 bytes each); more are joined.
+MOST_FREQUENT = 1_000_000
 #: Estimated count from which a window counts as frequent; its rows are then grouped by way of partial results.
 FREQUENT = 200
 
 _DRAW = np.random.default_rng(20240613)
-FACTORS = _DRAW.integers(0, 1 << 63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: For each of the two hashes: the base of its polynomial, and what it is mixed with.
+BASE, MIX = (_DRAW.integers(0, 1 << 63, (2, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
 
 
 def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,6 +63,24 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return counts, coded.indices.to_numpy()[full], hashes
 
 
+def rolled(h: np.ndarray, width: int, base: int) -> np.ndarray:
+    """Polynomials of each ``width`` neighbours, put together from stretches of 1, 2, 4, ... of them."""
+    out, done, block, size, power = None, 0, h, 1, base
+    while width:
+        if width & 1:
+            if out is None:
+                out = block.copy()
+            else:
+                n = min(len(out), len(block) - done)
+                out = out[:n] * np.uint64(power) + block[done : done + n]
+            done += size
+        width >>= 1
+        if width:
+            block = block[:-size] * np.uint64(power) + block[size:]
+            power, size = power * power % (1 << 64), 2 * size
+    return out
+
+
 def windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, position, hash, second hash) of every window, row by row."""
     counts, codes, hashes = word_table(texts)
@@ -69,12 +90,9 @@ def windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
         return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     keys = []
     for k in range(2):
-        h = hashes[:, k][codes]
-        total = np.zeros(n - width + 1, np.uint64)
-        for i in range(width):
-            total += h[i : n - width + 1 + i] * FACTORS[k, i]
+        total = rolled(hashes[:, k][codes], width, BASE[k])
         total ^= total >> np.uint64(29)
-        total *= FACTORS[k, 63]
+        total *= np.uint64(MIX[k])
         total ^= total >> np.uint64(32)
         keys.append(total)
     first = np.concatenate(([0], np.cumsum(counts)[:-1]))
@@ -262,24 +280,42 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     few = survivors(False).withColumn("least", F.min("doc_id").over(Window.partitionBy("a", "b")))
     late = few.where("least < doc_id").select("doc_id", "at")
-    if frequent:  # first the smallest document of each window, by partial results; then back to all rows
+    hot = None
+    if frequent:  # the smallest document of each frequent window, by partial results
         least = Tables(spark, "substring").put(survivors(True).groupBy("a", "b").agg(F.min("doc_id").alias("least")))
-        late = late.unionByName(survivors(True).join(least, ["a", "b"]).where("least < doc_id").select("doc_id", "at"))
+        rows = least.toArrow() if least.count() <= MOST_FREQUENT else None
+        if rows is not None and len(pc.unique(rows.column("a"))) == rows.num_rows:
+            order = np.argsort(rows.column("a").to_numpy())
+            hot = spark.sparkContext.broadcast(tuple(rows.column(c).to_numpy()[order] for c in ("a", "b", "least")))
+        else:
+            late = late.unionByName(survivors(True).join(least, ["a", "b"]).where("least < doc_id").select("doc_id", "at"))
+
+    def frequent_starts(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        """Starts of frequent windows that an earlier document has, for each row of the batch with any."""
+        row, at, a, b = windows(batch.column("text"), width)
+        a = a.view(np.int64)
+        known, other, first_doc = hot.value
+        found = np.minimum(np.searchsorted(known, a), len(known) - 1)
+        late_here = np.flatnonzero((known[found] == a) & (other[found] == (b >> np.uint64(32)).astype(np.uint32).view(np.int32)) & (first_doc[found] < batch.column("doc_id").to_numpy()[row]))
+        rows, begin = np.unique(row[late_here], return_index=True)
+        return dict(zip(rows.tolist(), np.split(at[late_here], begin[1:])))
+
     late = late.groupBy("doc_id").agg(F.collect_list("at").alias("at"))  # as long as one document
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"doc_id": batch.column("doc_id"), "n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
         starts, copied = batch.column("at"), is_in(batch.column("doc_id").to_numpy(), aside.value)
+        more = frequent_starts(batch) if hot is not None else {}
         for i, text in enumerate(batch.column("text").to_pylist()):
             words = text.encode().split()
             n = len(words)
             kept = words
             if copied[i] and n >= width:  # each of its words is covered
                 kept = []
-            elif starts[i].is_valid:
+            elif starts[i].is_valid or i in more:
                 covered = np.zeros(n + 1, np.int32)
-                at = np.unique(starts[i].values.to_numpy())
+                at = np.unique(np.concatenate(([] if not starts[i].is_valid else starts[i].values.to_numpy(), more.get(i, []))).astype(np.int64))
                 covered[at] += 1
                 covered[at + width] -= 1
                 kept = [words[x] for x in np.flatnonzero(np.cumsum(covered[:n]) == 0)]
