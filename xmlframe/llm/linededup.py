@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import Tables, arrow_schema, as_batch, mapped, prepare, text_of
 from .graph import components
-from .simhash import groups
 
 SHINGLE = 8
 THRESHOLD = 0.8
@@ -222,27 +221,35 @@ def links(docs: DataFrame, tables: Tables) -> DataFrame:
     lines = marked_lines(docs, bits, tables)
     to = arrow_schema("u struct<doc_id:long,line:int>, v struct<doc_id:long,line:int>")
 
+    def compare(rows: list[tuple], done: set[tuple], out: list[tuple]) -> None:
+        """Adds the links among the lines (a, b, doc_id, line, text) of one bucket."""
+        if len(rows) < 2:
+            return
+        key = tuple(sorted(r[:2] for r in rows))
+        if key in done:  # another bucket of the same lines
+            return
+        if len(key) <= 64:
+            if len(done) > 100_000:
+                done.clear()
+            done.add(key)
+        place = [{"doc_id": r[2], "line": r[3]} for r in rows]
+        out += [(place[i], place[j]) for i, j in verified([shingles(r[4]) for r in rows])]
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple] = set()
-        for bucket in groups(batches, "bucket"):
-            parts: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(bucket.column("x").to_pylist(), bucket.column("y").to_pylist())):
-                parts.setdefault(key, []).append(i)
-            for rows in parts.values():
-                if len(rows) < 2:
-                    continue
-                group = bucket.take(rows)
-                key = tuple(sorted(zip(group.column("a").to_pylist(), group.column("b").to_pylist())))
-                if key in done:  # another band's bucket of the same lines
-                    continue
-                if len(key) <= 64:
-                    if len(done) > 100_000:
-                        done.clear()
-                    done.add(key)
-                found = verified([shingles(t) for t in group.column("text").to_pylist()])
-                if found:
-                    place = [{"doc_id": d, "line": n} for d, n in zip(group.column("doc_id").to_pylist(), group.column("line").to_pylist())]
-                    yield as_batch({"u": [place[i] for i, _ in found], "v": [place[j] for _, j in found]}, to)
+        done, key, rows = set(), None, []
+        out: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != key:
+                    compare(rows, done, out)
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+            if out:
+                yield as_batch({"u": [u for u, _ in out], "v": [v for _, v in out]}, to)
+                out = []
+        compare(rows, done, out)
+        if out:
+            yield as_batch({"u": [u for u, _ in out], "v": [v for _, v in out]}, to)
 
     joined = pairs.join(lines, "a")
     dealt = joined.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
