@@ -33,8 +33,8 @@ from .graph import components
 
 SHINGLE = 8
 THRESHOLD = 0.8
-#: Chance of missing a pair at the very threshold: (1 - 0.8 ** 4) ** 10, 0.5 %; at 0.85 it is 0.06 %.
-BANDS, PER_BAND = 10, 4
+#: Chance of missing a pair at the very threshold: (1 - 0.8 ** 4) ** 12, 0.2 %; at 0.85 it is 0.02 %.
+BANDS, PER_BAND = 12, 4
 #: Lines of a bucket that one task compares at once.
 BUCKET = 4096
 #: Bits that mark candidate lines.
