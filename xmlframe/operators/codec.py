@@ -14,7 +14,7 @@ from ..core import decode as D
 from ..core.parser import XmlParseError, parse_document
 from ..functions.text import utf16_length
 from ..plans.encode import Encoder, RenderOptions
-from ..plans.schema import SINGLE_KEY, plan, pruned
+from ..plans.schema import SINGLE_KEY, plan, pruned, types
 
 ERROR = "struct<tag:string,message:string,position:int>"
 MODES = ("PERMISSIVE", "FAILFAST", "DROPMALFORMED")
@@ -30,7 +30,7 @@ class XmlCodec:
     """
 
     def __init__(self, schema: T.DataType | str, root_name: str | None = None, *, root: dict[str, Any] | None = None, preserve_whitespace: bool = False, array_from_single: bool = False, **render: Any):
-        self.schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        self.schema = types(schema) if isinstance(schema, str) else schema
         if array_from_single:
             self.schema = _single(self.schema)
         self.root_name, self.root, self.preserve = root_name, root, preserve_whitespace
@@ -53,7 +53,7 @@ class XmlCodec:
         """
         schema = self.schema if fields is None else pruned(self.schema, fields)
         compiled = plan(schema, self.root_name, self.root) if fields is not None else self.plan
-        returned = T.StructType([T.StructField("value", _bare(schema)), T.StructField("error", T._parse_datatype_string(ERROR))])
+        returned = T.StructType([T.StructField("value", _bare(schema)), T.StructField("error", types(ERROR))])
         arrow = to_arrow_type(returned)
         options = {"preserve_whitespace": self.preserve, "max_depth": self.options.max_depth, "name": self.options.name, "xml_version": self.options.xml_version}
         node, active = compiled.root, compiled.active

@@ -18,7 +18,7 @@ from ..core.render import too_deep
 from ..functions import names as fnames
 from ..functions.escape import escape_attribute, escape_text
 from ..functions.text import scalar_text
-from .schema import Field, Node, Plan
+from .schema import Field, Node, Plan, types
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,7 @@ class Encoder:
             from ..functions.xml import render_xml
 
             return render_xml(value, root_name=name, name=self.o.name, xml_version=self.o.xml_version, max_depth=self.o.max_depth, suppress_empty_node=self.o.suppress_empty_node)["value"]
-        return scalar_text(value, T._parse_datatype_string(node.type))
+        return scalar_text(value, types(node.type))
 
     def record(self, value: Column, node: Node, tag: str, declared: str, scope: dict, depth: int, before: str) -> Column:
         fields = node.fields
@@ -200,7 +200,7 @@ def _type(node: Node) -> T.DataType:
         return T.ArrayType(_type(node.member))
     if node.kind == "map":
         return T.MapType(T.StringType(), _type(node.member))
-    return T._parse_datatype_string(node.type)
+    return types(node.type)
 
 
 __all__ = ["Encoder", "Field", "RenderOptions", "joined"]

@@ -7,6 +7,7 @@ own is in that of the element around it; an attribute never is.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field as member
 from typing import Any
 
@@ -20,10 +21,84 @@ NAMESPACE_KEY, PREFIX_KEY, NAME_KEY, ATTRIBUTE_KEY, VALUE_KEY = "xmlNamespace",
 OPTIONAL_KEY, ENUM_KEY, JSON_KEY, SINGLE_KEY = "optional", "enum", "xmlJson", "xmlSingle"
 
 
+_TOKEN = re.compile(r"\s*(`(?:[^`]|``)*`|[A-Za-z_@#][\w@#]*|\d+|[<>(),:])")
+_SCALARS = {"string": T.StringType, "double": T.DoubleType, "float": T.FloatType, "int": T.IntegerType, "integer": T.IntegerType, "bigint": T.LongType, "long": T.LongType, "smallint": T.ShortType, "tinyint": T.ByteType, "boolean": T.BooleanType, "date": T.DateType, "timestamp": T.TimestampType, "timestamp_ntz": T.TimestampNTZType, "binary": T.BinaryType}
+
+
+def types(text: str) -> T.DataType:
+    """A type from its text (``a string, b array<int>`` or ``array<string>``), without a session."""
+    tokens, at = [], 0
+    while text[at:].strip():
+        m = _TOKEN.match(text, at)
+        if m is None:
+            raise ValueError(f"Cannot read the type {text!r} at {at}")
+        tokens.append(m[1])
+        at = m.end()
+    tokens.append("")
+
+    def take(want: str = "") -> str:
+        token = tokens.pop(0)
+        if want and token != want:
+            raise ValueError(f"Expected {want!r} in the type {text!r}, but found {token!r}")
+        return token
+
+    def name() -> str:
+        token = take()
+        return token[1:-1].replace("``", "`") if token[:1] == "`" else token
+
+    def parts(between: str, end: str) -> T.StructType:
+        out = []
+        while True:
+            key = name()
+            if between or tokens[0] == ":":
+                take(":")
+            out.append(T.StructField(key, one()))
+            if tokens[0] != ",":
+                take(end) if end else None
+                return T.StructType(out)
+            take(",")
+
+    def one() -> T.DataType:
+        kind = take().lower()
+        if kind == "array":
+            take("<")
+            inner = one()
+            take(">")
+            return T.ArrayType(inner)
+        if kind == "map":
+            take("<")
+            key = one()
+            take(",")
+            value = one()
+            take(">")
+            return T.MapType(key, value)
+        if kind == "struct":
+            take("<")
+            return parts(":", ">")
+        if kind == "decimal":
+            if tokens[0] != "(":
+                return T.DecimalType(10, 0)
+            take("(")
+            precision = int(take())
+            take(",")
+            scale = int(take())
+            take(")")
+            return T.DecimalType(precision, scale)
+        if kind not in _SCALARS:
+            raise ValueError(f"Unknown type {kind!r} in {text!r}")
+        return _SCALARS[kind]()
+
+    alone = len(tokens) == 2 or tokens[1] in ("<", "(")
+    out = one() if alone else parts("", "")
+    if tokens != [""]:
+        raise ValueError(f"Cannot read the type {text!r}: {tokens[0]!r} is left")
+    return out
+
+
 def field(name: str, kind: T.DataType | str, *, namespace: str | None = None, prefix: str | None = None, xml_name: str | None = None, attribute: bool = False, value: bool = False, optional: bool = False, enum: list | None = None, tree: bool = False, single: bool = False) -> T.StructField:
     """A field with annotations.  ``tree``: a string field that holds any tree as JSON text, for recursive or mixed shapes."""
     given = {NAMESPACE_KEY: namespace, PREFIX_KEY: prefix, NAME_KEY: xml_name, ATTRIBUTE_KEY: attribute or None, VALUE_KEY: value or None, OPTIONAL_KEY: optional or None, ENUM_KEY: enum, JSON_KEY: tree or None, SINGLE_KEY: single or None}
-    kind = T._parse_datatype_string(kind) if isinstance(kind, str) else kind
+    kind = types(kind) if isinstance(kind, str) else kind
     return T.StructField(name, kind, True, {k: v for k, v in given.items() if v is not None})
 
 
