@@ -7,24 +7,22 @@ executors share.  Only where that setting is absent (tests, notebooks) a folder
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 #: Rows in an Arrow batch.  Documents can be long, so batches are short; a batch is also limited in bytes by Spark.
 BATCH_ROWS = 1000
 
 _LEFT: list[str] = []
-_SHIPPED: set[str] = set()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,21 +36,6 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, unless PYTHONPATH already has it."""
-    top = Path(__file__).resolve().parents[2]
-    context = spark.sparkContext
-    if str(top) in os.environ.get("PYTHONPATH", "").split(":") or context.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(context.applicationId)
-    into = Path(tempfile.mkdtemp(prefix="xmlframe-ship-"))  # read by the driver's own file server only
-    atexit.register(shutil.rmtree, into, True)
-    with zipfile.ZipFile(into / "xmlframe_shipped.zip", "w") as out:
-        for path in sorted((top / "xmlframe").rglob("*.py")):
-            out.write(path, path.relative_to(top))
-    context.addPyFile(str(into / "xmlframe_shipped.zip"))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written tables: ``spark.checkpoint.dir``, else one that this process made."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
