@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ THRESHOLD = 0.8
 BANDS, PER_BAND = 12, 4
 #: Lines of a bucket that one task compares at once.
 BUCKET = 4096
+#: Shingles of a line that are looked up in another before all are.
+PROBE = 64
 #: Bits that mark candidate lines.
 MARKS = 1 << 27
 
@@ -112,8 +115,10 @@ def _band_keys(padded: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def similar(a: set[str], b: set[str]) -> bool:
-    if min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)):
+def similar(a: set[str], b: set[str], probe: set[str]) -> bool:
+    """Whether the Jaccard similarity reaches the threshold; ``probe`` is some of ``a``, whose misses alone may tell."""
+    least = THRESHOLD * (len(a) + len(b)) / (1 + THRESHOLD)  # common shingles that it takes
+    if min(len(a), len(b)) < least - 1e-9 or len(probe - b) > len(a) - least + 1e-9:
         return False
     both = len(a & b)
     return both >= THRESHOLD * (len(a) + len(b) - both)
@@ -127,8 +132,9 @@ def verified(sets: list[set[str]]) -> list[tuple[int, int]]:
         while todo and left:
             i = todo.pop()
             mine, rest = sets[i], []
+            probe = set(islice(mine, PROBE))
             for j in left:
-                if similar(mine, sets[j]):
+                if similar(mine, sets[j], probe):
                     links.append((i, j))
                     todo.append(j)
                 else:
