@@ -6,7 +6,8 @@ BANDS * PER_BAND minima make candidates of lines that agree in a whole band, and
 Jaccard similarity.  Each component of the verified links keeps one line, the first by (doc_id, line number).
 
 The lines of one bucket are verified by growing groups from one of them, so that a bucket of similar lines takes work and
-links in proportion to its size.  Buckets of more than BUCKET lines are dealt out by pairs of parts, so that every pair
+links in proportion to its size.  Small buckets with the same smallest line are read one after another, so that what one of them
+showed need not be compared again.  Buckets of more than BUCKET lines are dealt out by pairs of parts, so that every pair
 still meets in some task.
 
 Texts move only for lines that are candidates: these are marked in a bit set of fixed size, which can mark too many lines
@@ -38,6 +39,10 @@ THRESHOLD = 0.8
 BANDS, PER_BAND = 12, 4
 #: Lines of a bucket that one task compares at once.
 BUCKET = 4096
+#: Lines of a bucket up to which it is read together with others.
+KIN = 256
+#: Shingles whose sets are kept for the next bucket (about 100 bytes each).
+HELD = 1_000_000
 #: Shingles of a line that are looked up in another before all are.
 PROBE = 64
 #: Bits that mark candidate lines.
@@ -124,23 +129,66 @@ def similar(a: set[str], b: set[str], probe: set[str]) -> bool:
     return both >= THRESHOLD * (len(a) + len(b) - both)
 
 
-def verified(sets: list[set[str]]) -> list[tuple[int, int]]:
-    """Links that span each group of similar lines: a group grows from one line, over the lines that no group has yet."""
-    links, left = [], list(range(len(sets)))
-    while left:
-        todo = [left.pop(0)]
-        while todo and left:
-            i = todo.pop()
-            mine, rest = sets[i], []
-            probe = set(islice(mine, PROBE))
-            for j in left:
-                if similar(mine, sets[j], probe):
-                    links.append((i, j))
-                    todo.append(j)
-                else:
-                    rest.append(j)
-            left = rest
-    return links
+class Compared:
+    """What is known of the lines in buckets of one ``kin``: sets, links, and pairs that are unlike."""
+
+    def __init__(self):
+        self.sets: dict[tuple, set[str]] = {}
+        self.root: dict[tuple, tuple] = {}
+        self.unlike: set[tuple] = set()
+        self.held = 0
+
+    def set_of(self, key: tuple, text: str) -> set[str]:
+        if (found := self.sets.get(key)) is None:
+            if self.held > HELD:
+                self.sets.clear()
+                self.held = 0
+            found = self.sets[key] = shingles(text)
+            self.held += len(found)
+        return found
+
+    def top(self, key: tuple) -> tuple:
+        while (up := self.root.get(key, key)) != key:
+            self.root[key] = self.root.get(up, up)
+            key = up
+        return key
+
+    def links(self, lines: list[tuple[tuple, str]]) -> list[tuple[int, int]]:
+        """Links (as indices) that span, with those of earlier buckets, each group of similar ``lines`` (key, text).
+
+        A group grows from one line, over the lines that no group has yet; lines that are joined already need no look.
+        """
+        if len(self.unlike) > 200_000:
+            self.unlike.clear()
+        links, left = [], list(range(len(lines)))
+        while left:
+            todo = [left.pop(0)]
+            while todo and left:
+                i = todo.pop()
+                key, text = lines[i]
+                mine = probe = None
+                top, rest = self.top(key), []
+                for j in left:
+                    other, other_text = lines[j]
+                    if (below := self.top(other)) == top:
+                        todo.append(j)
+                        continue
+                    pair = (key, other) if key < other else (other, key)
+                    if pair in self.unlike:
+                        rest.append(j)
+                        continue
+                    if mine is None:
+                        mine = self.set_of(key, text)
+                        probe = set(islice(mine, PROBE))
+                    if similar(mine, self.set_of(other, other_text), probe):
+                        links.append((i, j))
+                        self.root[below] = top
+                        todo.append(j)
+                    else:
+                        self.unlike.add(pair)
+                        rest.append(j)
+                left = rest
+        return links
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
@@ -169,9 +217,10 @@ def band_rows(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, tables: Tables) -> DataFrame:
-    """(bucket, a, x, y): lines of buckets with different lines; those of one (bucket, x, y) are to be compared.
+    """(kin, bucket, a, x, y): lines of buckets with different lines; those of one (bucket, x, y) are to be compared.
 
-    Parts of a large bucket are paired up: a line stands in each pair that its part is in.
+    Buckets of up to KIN lines that share their smallest line, BANDS of them at most, have the same ``kin``.  Parts of a
+    large bucket are paired up: a line stands in each pair that its part is in.
     """
     of = Window.partitionBy("bucket")
     found = band_rows(docs).withColumns({"lo": F.min("a").over(of), "hi": F.max("a").over(of)}).where("lo < hi").select("bucket", "a").distinct()
@@ -179,12 +228,12 @@ def candidates(docs: DataFrame, tables: Tables) -> DataFrame:
     # Buckets of the same lines, from other bands, are compared once: sums of two hashes tell them apart.
     sums = [F.sum(F.pmod(F.xxhash64("a", F.lit(i)), F.lit(1 << 44))).alias(f"s{i}") for i in (1, 2)]
     sizes = found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi"), *sums)
-    chosen = tables.put(sizes.groupBy("n", "lo", "hi", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "n"))
+    chosen = tables.put(sizes.groupBy("n", "lo", "hi", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.when(F.col("n") > KIN, F.col("bucket")).otherwise(F.col("lo")).alias("kin")))
     shared = found.join(chosen, "bucket")
     parts = F.ceil(F.col("n") / (BUCKET // 2)).cast("int")
     mine = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
     dealt = shared.withColumn("parts", F.when(F.col("n") > BUCKET, parts).otherwise(1)).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return tables.put(dealt.select("bucket", "a", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")))
+    return tables.put(dealt.select("kin", "bucket", "a", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")))
 
 
 def marks(lines: DataFrame) -> np.ndarray:
@@ -227,39 +276,32 @@ def links(docs: DataFrame, tables: Tables) -> DataFrame:
     lines = marked_lines(docs, bits, tables)
     to = arrow_schema("u struct<doc_id:long,line:int>, v struct<doc_id:long,line:int>")
 
-    def compare(rows: list[tuple], done: set[tuple], out: list[tuple]) -> None:
-        """Adds the links among the lines (a, b, doc_id, line, text) of one bucket."""
-        if len(rows) < 2:
-            return
-        key = tuple(sorted(r[:2] for r in rows))
-        if key in done:  # another bucket of the same lines
-            return
-        if len(key) <= 64:
-            if len(done) > 100_000:
-                done.clear()
-            done.add(key)
-        place = [{"doc_id": r[2], "line": r[3]} for r in rows]
-        out += [(place[i], place[j]) for i, j in verified([shingles(r[4]) for r in rows])]
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, key, rows = set(), None, []
+        known, key, bucket, rows = Compared(), None, None, []
         out: list[tuple] = []
+
+        def compare() -> None:
+            place = [{"doc_id": r[2], "line": r[3]} for r in rows]
+            out.extend((place[i], place[j]) for i, j in known.links([(r[:2], r[4]) for r in rows]))
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
-                    compare(rows, done, out)
-                    key, rows = row[:3], []
-                rows.append(row[3:])
+                if row[:4] != bucket:
+                    compare()
+                    if row[:3] != key:
+                        known, key = Compared(), row[:3]
+                    bucket, rows = row[:4], []
+                rows.append(row[4:])
             if out:
                 yield as_batch({"u": [u for u, _ in out], "v": [v for _, v in out]}, to)
-                out = []
-        compare(rows, done, out)
+                out.clear()
+        compare()
         if out:
             yield as_batch({"u": [u for u, _ in out], "v": [v for _, v in out]}, to)
 
     joined = pairs.join(lines, "a")
-    dealt = joined.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt.select("bucket", "x", "y", "a", "b", "doc_id", "line", "text").mapInArrow(verify, "u struct<doc_id:long,line:int>, v struct<doc_id:long,line:int>")
+    dealt = joined.repartition("kin", "x", "y").sortWithinPartitions("kin", "x", "y", "bucket")
+    return dealt.select("kin", "x", "y", "bucket", "a", "b", "doc_id", "line", "text").mapInArrow(verify, "u struct<doc_id:long,line:int>, v struct<doc_id:long,line:int>")
 
 
 def removals(docs: DataFrame) -> DataFrame:
