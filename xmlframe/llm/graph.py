@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps, each a grouping and a join.
 
-Nothing is collected: the driver sees one row of counts per round.  Centres with very many neighbours are dealt out by a
-salt, so that no task gets all edges of a node.
+Nothing is collected: the driver sees one row of counts per round.  Nodes with very many neighbours are dealt out by a salt,
+so that no task gets all their edges; how many such nodes there can be is bounded, so they are broadcast.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import Tables
 
-#: Parts that the edges of each node are dealt to.
+#: Parts that the edges of a hot node are dealt to.
 SALTS = 16
+#: A node is hot with more than HOT_LEAST edges, and more than 2 / HOT_MOST of all: there are fewer than HOT_MOST.
+HOT_LEAST, HOT_MOST = 256, 1000
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
@@ -24,29 +26,34 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     both = edges.where(u != v).select(F.when(u > v, u).otherwise(v).alias("u"), F.when(u > v, v).otherwise(u).alias("v"))
     now, before = tables.put(both.distinct()), None
     while True:
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("x")).first()
-        if seen == before or not seen["n"]:
+        hashed = now.withColumn("x", F.xxhash64("u", "v").cast("decimal(20,0)"))
+        degrees = hashed.unionByName(hashed.select(v.alias("u"), u.alias("v"), "x")).groupBy("u").agg(F.count("*").alias("n"), F.sum("x").alias("x"))
+        *seen, most = degrees.agg(F.sum("n"), F.sum("x"), F.max("n")).first()
+        if seen == before or not seen[0]:
             break
         before = seen
+        least = max(HOT_LEAST, 2 * (seen[0] // 2) // HOT_MOST)
+        # A node has no more smaller neighbours after the large star than before, so both steps share the hot nodes.
+        hot = degrees.where(F.col("n") > least).select("u", F.lit(SALTS).alias("salts")) if most > least else None
         # Large star: every larger neighbour of a node is linked to the node's smallest.
         sides = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        large = _linked(sides.where(v > u), sides).distinct()
+        large = _linked(sides.where(v > u), sides, hot).distinct()
         # Small star: every smaller neighbour, and the node itself, is linked to its smallest.
-        least = large.groupBy("u").agg(F.min("v").alias("v"))
-        small = _linked(large.select("u", "v"), large).where(u != v)
-        after = tables.put(small.unionByName(least).distinct())
+        smallest = large.groupBy("u").agg(F.min("v").alias("v"))
+        small = _linked(large, large, hot).where(u != v)
+        after = tables.put(small.unionByName(smallest).distinct())
         tables.drop(now)
         now = after
     return now.select(u.alias("node"), v.alias("root"))
 
 
-def _linked(pairs: DataFrame, among: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, among: DataFrame, hot: DataFrame | None) -> DataFrame:
     """For each pair (u, v): v linked to the smallest of u and its neighbours in ``among``."""
-    least = among.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")) if _plain(among) else among.groupBy("u").agg(F.min("v").alias("m")).select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"))
-    spread = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _plain(df: DataFrame) -> bool:
-    return df.schema["u"].dataType.typeName() in ("long", "integer", "string")
+    least = among.groupBy("u").agg(F.min("v").alias("m")).select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"))
+    on = ["u"]
+    if hot is not None:
+        salts = F.coalesce("salts", F.lit(1))
+        pairs = pairs.join(F.broadcast(hot), "u", "left").withColumn("salt", F.pmod(F.xxhash64("v"), salts).cast("int"))
+        least = least.join(F.broadcast(hot), "u", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        on.append("salt")
+    return pairs.join(least, on).select(F.col("v").alias("u"), F.col("m").alias("v"))
