@@ -57,12 +57,23 @@ def plain(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+#: White space that is not as it is in the plain form: what str.split divides at, but for spaces and ends of lines.
+UNUSUAL = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["  "]
+
+
+def plain_lines(text: str) -> list[str]:
+    """``plain`` of each line; texts without unusual white space need only be cut."""
+    if any(x in text for x in UNUSUAL):
+        return [plain(x) for x in text.split("\n")]
+    return [x.strip(" ") for x in text.lower().split("\n")]
+
+
 def lines_of(texts: list[str]) -> tuple[list[str], list[int], list[int]]:
     """(plain line, row, number) of each line that is not blank."""
     line, row, number = [], [], []
     for r, text in enumerate(texts):
-        for i, x in enumerate(text.split("\n")):
-            if p := plain(x):
+        for i, p in enumerate(plain_lines(text)):
+            if p:
                 line.append(p)
                 row.append(r)
                 number.append(i)
