@@ -21,6 +21,7 @@ of equal number is kept in each copy).
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import Tables, arrow_schema, as_batch, mapped, prepare, text_of
 from .graph import components
 
+#: Characters of a shingle; so many bytes make a number.
 SHINGLE = 8
 THRESHOLD = 0.8
 #: Chance of missing a pair at the very threshold: (1 - 0.8 ** 4) ** 12, 0.2 %; at 0.85 it is 0.02 %.
@@ -41,7 +43,7 @@ BANDS, PER_BAND = 12, 4
 BUCKET = 4096
 #: Lines of a bucket up to which it is read together with others.
 KIN = 256
-#: Shingles whose sets are kept for the next bucket (about 100 bytes each).
+#: Shingles whose sets are kept for the next bucket (under 100 bytes each).
 HELD = 1_000_000
 #: Shingles of a line that are looked up in another before all are.
 PROBE = 64
@@ -85,8 +87,19 @@ def keys_of(lines: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode()) for x in lines]), dtype=">i8").astype(np.int64).reshape(-1, 2)
 
 
-def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+WIDE = re.compile("[^\0-\xff]")
+
+
+def shingles(line: str) -> set[str | int]:
+    """The set of a line's shingles: eight characters below 256 as the number that their bytes are, others as text."""
+    n = len(line) - SHINGLE + 1
+    if n < 1:
+        return {line}
+    numbers = np.ndarray((n,), "<u8", line.encode("latin-1", "replace"), strides=(1,)).tolist()
+    wide = {i for m in WIDE.finditer(line) for i in range(max(0, m.start() - SHINGLE + 1), min(m.start() + 1, n))}
+    if not wide:
+        return set(numbers)
+    return {x for i, x in enumerate(numbers) if i not in wide} | {line[i : i + SHINGLE] for i in wide}
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -131,7 +144,7 @@ def _band_keys(padded: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def similar(a: set[str], b: set[str], probe: set[str]) -> bool:
+def similar(a: set, b: set, probe: set) -> bool:
     """Whether the Jaccard similarity reaches the threshold; ``probe`` is some of ``a``, whose misses alone may tell."""
     least = THRESHOLD * (len(a) + len(b)) / (1 + THRESHOLD)  # common shingles that it takes
     if min(len(a), len(b)) < least - 1e-9 or len(probe - b) > len(a) - least + 1e-9:
@@ -144,12 +157,12 @@ class Compared:
     """What is known of the lines in buckets of one ``kin``: sets, links, and pairs that are unlike."""
 
     def __init__(self):
-        self.sets: dict[tuple, set[str]] = {}
+        self.sets: dict[tuple, set] = {}
         self.root: dict[tuple, tuple] = {}
         self.unlike: set[tuple] = set()
         self.held = 0
 
-    def set_of(self, key: tuple, text: str) -> set[str]:
+    def set_of(self, key: tuple, text: str) -> set:
         if (found := self.sets.get(key)) is None:
             if self.held > HELD:
                 self.sets.clear()
