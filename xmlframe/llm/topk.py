@@ -2,8 +2,9 @@
 
 Every partition is a shard (cut further where it is large) with an inverted index of its documents, cut into blocks of
 consecutive documents.  Each posting list keeps the largest impact in each block.  For a query the maxima of its terms add
-up to a bound for each block; blocks are scored from the highest bound down, and a block whose bound does not reach the
-k-th best score found so far is skipped, so no document that belongs to the result is.  Document frequencies, the number
+up to a bound for each block; the blocks of the highest bounds are scored first, and a block whose bound does not reach the
+k-th best score found so far is skipped, so no document that belongs to the result is.  Where most blocks must be scored,
+whole posting lists are read instead of stretches of them.  Document frequencies, the number
 of documents and their mean length are global, so scores of shards compare and merge exactly.
 
 Queries are taken in parts with at most QUERY_TERMS terms; parts are broadcast and run over all documents one by one.
@@ -36,6 +37,8 @@ BLOCK, SHARD = 64, 16_384
 SHARD_POSTINGS = 6_000_000
 #: Terms of the queries that are broadcast at once.
 QUERY_TERMS = 2_000_000
+#: Blocks that are scored first, and the part of all blocks (1 / WHOLE) beyond which the rest is scored as a whole.
+FIRST, WHOLE = 4, 8
 
 
 def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
@@ -104,10 +107,13 @@ def stretches(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Shard:
-    """Postings of some documents: by term, then document; entries are the stretches of one term in one block."""
+    """Postings of some documents: by term, then document; entries are the stretches of one term in one block.
+
+    ``doc``, ``term`` and ``impact`` come in order of documents.
+    """
 
     def __init__(self, ids: np.ndarray, doc: np.ndarray, term: np.ndarray, impact: np.ndarray, terms: int):
-        order = np.lexsort((doc, term))
+        order = np.sort(term << 32 | np.arange(len(term))) & 0xFFFFFFFF  # by term, else as they came
         self.ids, self.doc, self.impact = ids, doc[order], impact[order]
         term = term[order]
         block = self.doc // BLOCK
@@ -115,6 +121,7 @@ class Shard:
         self.begin, self.end = new, np.append(new[1:], len(term))
         self.block, self.most = block[new], np.maximum.reduceat(self.impact, new) if len(new) else np.empty(0)
         self.first = np.searchsorted(term[new], np.arange(terms + 1))
+        self.run = np.append(new, len(term))[self.first]  # postings of term t: run[t] to run[t + 1]
         self.blocks = -(-len(ids) // BLOCK)
 
     def search(self, own: int, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -122,34 +129,45 @@ class Shard:
         entry, of = stretches(self.first[terms], self.first[terms + 1])
         if not len(entry):
             return np.empty(0), np.empty(0, np.int64)
-        weight = weights[of]
-        block = self.block[entry]
+        weight, block = weights[of], self.block[entry]
         bound = np.bincount(block, weights=self.most[entry] * weight, minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        scores, found, at, step = [], [], 0, 4
-        best = np.empty(0)
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] + 10.0**-PLACES >= floor:
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[at : at + step]] = True
-            mine = np.flatnonzero(chosen[block])
-            posting, part = stretches(self.begin[entry[mine]], self.end[entry[mine]])
-            doc = self.doc[posting]
-            total = np.bincount(doc, weights=self.impact[posting] * weight[mine][part], minlength=len(self.ids))
-            hit = np.flatnonzero(total > 0)
-            hit = hit[self.ids[hit] != own]
-            score = np.round(total[hit], PLACES)
-            scores.append(score)
-            found.append(self.ids[hit])
-            best = np.sort(np.concatenate((best, score)))[::-1][:k]
-            if len(best) == k:
-                floor = max(floor, best[-1])
-            at += step
-            step *= 2
-        if not scores:
-            return np.empty(0), np.empty(0, np.int64)
-        score, ids = np.concatenate(scores), np.concatenate(found)
-        keep = score >= floor if len(best) == k else np.ones(len(score), bool)
-        return score[keep], ids[keep]
+        bound = np.where(bound > 0, bound + 10.0**-PLACES, -np.inf)
+        # The most promising blocks raise the floor, which then rules out others.
+        chosen = bound >= np.partition(bound, -min(FIRST, self.blocks))[-min(FIRST, self.blocks)]
+        chosen &= bound >= floor
+        score, ids = self._best(own, self._gathered(entry, weight, chosen[block]), k, floor)
+        if len(score) >= k:
+            floor = max(floor, np.partition(score, -k)[-k])
+        rest = (bound >= floor) & ~chosen & np.isfinite(bound)
+        if not rest.any():
+            return score, ids
+        if np.count_nonzero(rest) * WHOLE > self.blocks:
+            # Whole posting lists, copied run by run, take less time than many short stretches of them.
+            return self._best(own, self._whole(terms, weights), k, floor)
+        more, more_ids = self._best(own, self._gathered(entry, weight, rest[block]), k, floor)
+        return np.concatenate((score, more)), np.concatenate((ids, more_ids))
+
+    def _gathered(self, entry: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Scores of the documents in the chosen entries' blocks, 0 elsewhere."""
+        mine = np.flatnonzero(chosen)
+        posting, part = stretches(self.begin[entry[mine]], self.end[entry[mine]])
+        return np.bincount(self.doc[posting], weights=self.impact[posting] * weight[mine][part], minlength=len(self.ids))
+
+    def _whole(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of all documents."""
+        runs = list(zip(self.run[terms].tolist(), self.run[terms + 1].tolist()))
+        impact = np.concatenate([self.impact[a:b] for a, b in runs])
+        impact *= np.repeat(weights, self.run[terms + 1] - self.run[terms])
+        return np.bincount(np.concatenate([self.doc[a:b] for a, b in runs]), weights=impact, minlength=len(self.ids))
+
+    def _best(self, own: int, total: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rounded scores, ids) of documents that reach ``floor`` and the k-th best score, ties with it included."""
+        hit = np.flatnonzero(total > max(0.0, floor - 10.0**-PLACES))
+        hit = hit[self.ids[hit] != own]
+        if len(hit) > k:
+            least = np.partition(total[hit], -k)[-k] - 10.0**-PLACES  # rounding may bring others level
+            hit = hit[total[hit] >= least]
+        return np.round(total[hit], PLACES), self.ids[hit]
 
 
 def search(docs: DataFrame, held, stats, k: int) -> DataFrame:
