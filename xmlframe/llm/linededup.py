@@ -49,8 +49,8 @@ PROBE = 64
 MARKS = 1 << 27
 
 _DRAW = np.random.default_rng(977)
-ROLL = _DRAW.integers(0, 1 << 32, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TIMES = _DRAW.integers(0, 1 << 31, BANDS * PER_BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+JOIN = _DRAW.integers(0, 1 << 31, SHINGLE.bit_length(), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def plain(line: str) -> str:
@@ -92,43 +92,51 @@ def shingles(line: str) -> set[str]:
 def band_keys(lines: list[str]) -> np.ndarray:
     """One long for each line and band; lines of a bucket agree in all minima of the band."""
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    out = np.empty((len(lines), BANDS), np.int64)
+    least = np.empty((BANDS * PER_BAND, len(lines)), np.uint32)
     at = 0
     while at < len(lines):  # stretches of about this many characters stay in cache
         end, size = at, 0
         while end < len(lines) and (end == at or size + len(padded[end]) <= 100_000):
             size += len(padded[end])
             end += 1
-        out[at:end] = _band_keys(padded[at:end])
+        _minima(padded[at:end], least[:, at:end])
         at = end
-    return out
+    out = np.empty((len(lines), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(lines), band + 1, np.uint64)
+        for i in range(band * PER_BAND, (band + 1) * PER_BAND):
+            key = (key ^ least[i]) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(29)
+        out[:, band] = key
+    return out.view(np.int64)
+
 
+def shingle_hashes(code: np.ndarray) -> np.ndarray:
+    """32 bits of hash of each run of SHINGLE (a power of two) characters, from the hashes of its halves."""
+    h, half = code, 1
+    while half < SHINGLE:
+        joined = h[:-half] * JOIN[half.bit_length() - 1]
+        joined += h[half:]
+        joined ^= joined >> np.uint32(15)
+        h, half = joined, 2 * half
+    h = h * JOIN[-1]
+    h ^= h >> np.uint32(16)
+    return h
 
-def _band_keys(padded: list[str]) -> np.ndarray:
+
+def _minima(padded: list[str], out: np.ndarray) -> None:
+    """The least of each line's shingle hashes under each of TIMES."""
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
     length = np.array([len(x) for x in padded])
-    n = len(code) - SHINGLE + 1
-    h = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
-        h += code[i : i + n] * ROLL[i]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    h = (h >> np.uint64(32)).astype(np.uint32)
+    h = shingle_hashes(code)
     ends = np.cumsum(length)
     within = np.ones(len(code), bool)  # no shingle runs from one line into the next
     within[(ends[:, None] - np.arange(1, SHINGLE)).ravel()] = False
-    h = h[within[:n]]
+    h = h[within[: len(h)]]
     first = np.concatenate(([0], np.cumsum(length - SHINGLE + 1)[:-1]))
-    out, turned = np.empty((len(padded), BANDS), np.uint64), np.empty_like(h)
-    with np.errstate(over="ignore"):
-        for band in range(BANDS):
-            key = np.full(len(padded), band + 1, np.uint64)
-            for i in range(band * PER_BAND, (band + 1) * PER_BAND):
-                least = np.minimum.reduceat(np.multiply(h, TIMES[i], out=turned), first)
-                key = (key ^ least) * np.uint64(0xBF58476D1CE4E5B9)
-                key ^= key >> np.uint64(29)
-            out[:, band] = key
-    return out.view(np.int64)
+    turned = np.empty_like(h)
+    for i, times in enumerate(TIMES):
+        np.minimum.reduceat(np.multiply(h, times, out=turned), first, out=out[i])
 
 
 def similar(a: set[str], b: set[str], probe: set[str]) -> bool:
