@@ -17,6 +17,9 @@ from xmlframe.llm import bpe, langid, linededup, mixing, simhash
 from xmlframe.llm.common import prepare, read, shared_dir
 from xmlframe.llm.queries import tokenizer
 
+#: Share of the words that the mixture keeps.
+KEEP = 0.5
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language; null texts and texts without a letter go."""
@@ -36,8 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are drawn at their calibrated probabilities."""
-    drawn = mixing.mix_documents(docs).where("sampled").select(F.col("doc_id").alias("_drawn")).distinct()
+    """The documents that are drawn at their calibrated probabilities: KEEP of all words, whatever the rarest cell."""
+    drawn = mixing.mix_documents(docs, keep=KEEP).where("sampled").select(F.col("doc_id").alias("_drawn")).distinct()
     return docs.join(drawn, F.col("doc_id") == F.col("_drawn"), "left_semi")
 
 

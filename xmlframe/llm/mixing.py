@@ -5,6 +5,10 @@ raked to the target share of each dimension in turn, ROUNDS times.  A document i
 (fitted weight / own weight) of its cell, scaled so that the largest is 1: this is the largest sample whose expected
 token shares equal the fitted ones.  The draw depends on the id alone, so it comes out alike on every run.
 
+One rare cell can make that sample very small.  With ``keep`` the sample has that share of all tokens instead, whatever the
+cells: a value that holds less than its target is taken whole, the other targets of its dimension are scaled up to the size,
+and the cells are raked to these targets within their tokens.
+
 Defined results: a null in a dimension is a value of its own, written as the empty string; null and empty texts have no
 tokens, count for no weight, and take their cell's probability (1 where a whole cell has no tokens); targets for values
 that do not occur are left out and the rest scaled up; repeated rows are drawn alike; an empty table gives no rows.
@@ -68,23 +72,51 @@ def targets_of(cells: DataFrame, dims: list[str], targets: Mapping[str, Mapping[
     return out
 
 
-def rake(cells: DataFrame, dims: list[str], tables: Tables, rounds: int = ROUNDS) -> DataFrame:
-    """Adds weight: tokens raked in turn to the target shares t_<dim> of each dimension.  Cells only, never documents."""
+def rake(cells: DataFrame, dims: list[str], tables: Tables, rounds: int = ROUNDS, within: bool = False) -> DataFrame:
+    """Adds weight: tokens raked in turn to the targets t_<dim> of each dimension, on demand ``within`` a cell's tokens.
+
+    Cells only, never documents.
+    """
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
     for done in range(rounds):
         for d in dims:
             have = F.sum("weight").over(Window.partitionBy(d))
-            now = now.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"t_{d}") / have).otherwise(0.0))
+            raked = F.when(have > 0, F.col("weight") * F.col(f"t_{d}") / have).otherwise(0.0)
+            now = now.withColumn("weight", F.least(raked, F.col("tokens").cast("double")) if within else raked)
         if done % ROUNDS_AT_ONCE == ROUNDS_AT_ONCE - 1 or done == rounds - 1:
             now = tables.put(now)
             now = now.coalesce(1) if len(now.inputFiles()) == 1 else now
     return now
 
 
-def mix(df: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = 0.5, id_col: str = "doc_id") -> DataFrame:
+def sized_targets(cells: DataFrame, dims: list[str], keep: float) -> DataFrame:
+    """Turns each t_<dim> into tokens: at most what the value has, in proportion to the shares below that, ``keep`` of all in sum.
+
+    Where the values with a target hold fewer tokens than that, the size is what they hold.
+    """
+    held = [F.sum(F.when(F.col(f"t_{d}") > 0, F.col("tokens"))).alias(d) for d in dims]
+    sums = cells.agg(F.sum("tokens").alias("all_tokens"), *held).first()
+    size = min([keep * (sums["all_tokens"] or 0), *[float(sums[d] or 0) for d in dims]])
+    out = cells
+    for d in dims:
+        t = F.col(f"t_{d}")
+        values = cells.where(t > 0).groupBy(d).agg(F.sum("tokens").cast("double").alias("has"), F.first(t).alias("t")).withColumn("full_at", F.col("has") / F.col("t"))
+        order = Window.partitionBy(F.lit(0)).orderBy("full_at", d)
+        # The scale if this value and all that fill up later are not full, and all before are.
+        before = F.coalesce(F.sum("has").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        scale = (F.lit(size) - before) / F.sum("t").over(order.rowsBetween(0, Window.unboundedFollowing))
+        scaled = values.withColumn("scale", scale)
+        first = scaled.where("scale <= full_at").agg(F.min_by("scale", "full_at").alias("scale"))
+        most = F.least("has", F.coalesce(F.col("scale"), F.col("full_at")) * F.col("t"))
+        wanted = values.crossJoin(F.broadcast(first)).select(d, most.alias("wanted"))
+        out = out.join(wanted, d, "left").withColumn(f"t_{d}", F.coalesce("wanted", F.lit(0.0))).drop("wanted")
+    return out
+
+
+def mix(df: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = 0.5, id_col: str = "doc_id", keep: float | None = None) -> DataFrame:
     """Per row: doc_id, the dimensions, n_tokens, probability, sampled.
 
-    ``dims`` maps names to columns, ``targets`` a name to {value: share}.
+    ``dims`` maps names to columns, ``targets`` a name to {value: share}; ``keep`` is the share of all tokens to sample.
     """
     names = list(dims)
     tables = Tables(df.sparkSession, "mixing")
@@ -93,19 +125,23 @@ def mix(df: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapp
     cells = tables.put(docs.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")))
     few = cells.count() <= FEW_CELLS
     cells = cells.coalesce(1) if few else cells  # in one partition, no grouping of cells needs a shuffle
-    fitted = rake(targets_of(cells, names, targets or {}, temper), names, tables)
+    wanted = targets_of(cells, names, targets or {}, temper)
+    if keep is not None:
+        wanted = tables.put(sized_targets(tables.put(wanted), names, keep))
+        wanted = wanted.coalesce(1) if few else wanted
+    fitted = rake(wanted, names, tables, within=keep is not None)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    top = fitted.agg(F.max(ratio).alias("top")).first()["top"] or 1.0
+    top = 1.0 if keep is not None else fitted.agg(F.max(ratio).alias("top")).first()["top"] or 1.0
     of = fitted.select(*names, F.coalesce(ratio / F.lit(top), F.lit(1.0)).alias("probability"))
     if few:
         of = F.broadcast(of)
     return docs.join(of, names).select("doc_id", *names, "n_tokens", "probability", (draw(F.col("doc_id")) < F.col("probability")).alias("sampled"))
 
 
-def mix_documents(df: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = 0.5) -> DataFrame:
+def mix_documents(df: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = 0.5, id_col: str = "doc_id", keep: float | None = None) -> DataFrame:
     """``mix`` over source, lang and topic, with words as tokens."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return mix(df, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(text)}, n_words(text), targets, temper)
+    return mix(df, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(text)}, n_words(text), targets, temper, id_col, keep)
 
 
 def oracle_sql(rounds: int = ROUNDS) -> str:
