@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from xmlframe.llm import common, mixing
+from xmlframe.llm import common, linededup, mixing
 
 # 3. Mixing, sized.
 
@@ -48,3 +50,34 @@ def test_mixture_stage_keeps_its_share(spark):
     docs = common.read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang", "source")
     words = lambda df: df.agg(F.sum(mixing.n_words(F.col("text")))).first()[0]
     assert words(P.mixture(spark, docs, "")) > 0.4 * words(docs)
+
+
+# 8. Line dedup, short lines.
+
+
+def planted(edits, lengths, each=6):
+    """(doc_id, text) of lines and, 10,000 on, of copies with ``edits`` characters changed well inside."""
+    draw, rows = random.Random(5), []
+    for n in lengths:
+        for _ in range(each):
+            line = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+            other = list(line)
+            for at in draw.sample(range(4, n - 4), edits):
+                other[at] = draw.choice("0123456789")
+            rows += [(len(rows), line), (10_000 + len(rows), "".join(other))]
+    return rows
+
+
+@pytest.mark.parametrize("edits, lengths", [(1, range(29, 81, 3)), (2, range(56, 81, 3)), (2, (120, 158, 159, 160, 161))])
+def test_short_lines_with_edits_are_linked(spark, edits, lengths):
+    rows = planted(edits, lengths)
+    got = {r["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = sum(got[i] == 0 for i, _ in rows if i >= 10_000)
+    assert missed <= 0.05 * len(rows) / 2 and all(got[i] == 0 for i, _ in rows if i < 10_000)
+
+
+def test_lines_too_short_or_unlike_stay(spark):
+    rows = planted(1, (20, 24, 27)) + planted(12, (40, 80, 100))
+    rows = [(k, t) for k, (_, t) in enumerate(rows)] + [(900, "thwhesnd. esator whshing and hewh."), (901, "thwhesnd, esator whshing and hewh.")]
+    got = {r["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == {901}

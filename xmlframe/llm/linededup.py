@@ -3,7 +3,8 @@
 Lines are compared in a plain form: lower case, runs of white space as one space, none at the ends.  Equal lines are
 grouped exactly by 128 bits of hash.  Different lines are compared by their sets of SHINGLE characters: signatures of
 BANDS * PER_BAND minima make candidates of lines that agree in a whole band, and every candidate is verified by its exact
-Jaccard similarity.  Each component of the verified links keeps one line, the first by (doc_id, line number).
+Jaccard similarity.  An edit inside a line changes SHINGLE shingles on each side, which a short line cannot bear: lines of up
+to SHORT characters are compared by their sets of NARROW characters as well, and linked if either similarity is enough.  Each component of the verified links keeps one line, the first by (doc_id, line number).
 
 The lines of one bucket are verified by growing groups from one of them, so that a bucket of similar lines takes work and
 links in proportion to its size.  Small buckets with the same smallest line are read one after another, so that what one of them
@@ -34,9 +35,14 @@ from .common import Tables, arrow_schema, as_batch, mapped, prepare, text_of
 from .graph import components
 
 SHINGLE = 8
+#: Shingles of lines of up to SHORT characters: one inner edit leaves enough from 29 characters on, two from 56, where
+#: SHINGLE takes 79 and 151.
+NARROW, SHORT = 3, 160
 THRESHOLD = 0.8
 #: Chance of missing a pair at the very threshold: (1 - 0.8 ** 4) ** 12, 0.2 %; at 0.85 it is 0.02 %.
 BANDS, PER_BAND = 12, 4
+#: For NARROW shingles, of which unlike lines share a tenth: chance of missing 0.8 % at the threshold, 0.05 % at 0.85.
+NARROW_BANDS, PER_NARROW = 16, 6
 #: Lines of a bucket that one task compares at once.
 BUCKET = 4096
 #: Lines of a bucket up to which it is read together with others.
@@ -51,6 +57,7 @@ MARKS = 1 << 27
 _DRAW = np.random.default_rng(977)
 TIMES = _DRAW.integers(0, 1 << 31, BANDS * PER_BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 JOIN = _DRAW.integers(0, 1 << 31, SHINGLE.bit_length(), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+NARROW_TIMES = _DRAW.integers(0, 1 << 31, NARROW_BANDS * PER_NARROW, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def plain(line: str) -> str:
@@ -85,57 +92,61 @@ def keys_of(lines: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode()) for x in lines]), dtype=">i8").astype(np.int64).reshape(-1, 2)
 
 
-def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+def shingles(line: str, width: int | None = None) -> set[str]:
+    """The line's set of ``width`` characters, by default NARROW for a short line and SHINGLE for others."""
+    width = width or (NARROW if len(line) <= SHORT else SHINGLE)
+    return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
+def band_keys(lines: list[str], width: int = SHINGLE) -> np.ndarray:
     """One long for each line and band; lines of a bucket agree in all minima of the band."""
-    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    least = np.empty((BANDS * PER_BAND, len(lines)), np.uint32)
+    bands, per_band, before = (BANDS, PER_BAND, 0) if width == SHINGLE else (NARROW_BANDS, PER_NARROW, BANDS)
+    padded = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
+    least = np.empty((bands * per_band, len(lines)), np.uint32)
     at = 0
     while at < len(lines):  # stretches of about this many characters stay in cache
         end, size = at, 0
         while end < len(lines) and (end == at or size + len(padded[end]) <= 100_000):
             size += len(padded[end])
             end += 1
-        _minima(padded[at:end], least[:, at:end])
+        _minima(padded[at:end], least[:, at:end], width)
         at = end
-    out = np.empty((len(lines), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(lines), band + 1, np.uint64)
-        for i in range(band * PER_BAND, (band + 1) * PER_BAND):
+    out = np.empty((len(lines), bands), np.uint64)
+    for band in range(bands):
+        key = np.full(len(lines), before + band + 1, np.uint64)
+        for i in range(band * per_band, (band + 1) * per_band):
             key = (key ^ least[i]) * np.uint64(0xBF58476D1CE4E5B9)
             key ^= key >> np.uint64(29)
         out[:, band] = key
     return out.view(np.int64)
 
 
-def shingle_hashes(code: np.ndarray) -> np.ndarray:
-    """32 bits of hash of each run of SHINGLE (a power of two) characters, from the hashes of its halves."""
+def shingle_hashes(code: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """32 bits of hash of each run of ``width`` characters, from the hashes of its halves (which overlap if need be)."""
     h, half = code, 1
-    while half < SHINGLE:
-        joined = h[:-half] * JOIN[half.bit_length() - 1]
-        joined += h[half:]
+    while half < width:
+        step = min(half, width - half)
+        joined = h[:-step] * JOIN[half.bit_length() - 1]
+        joined += h[step:]
         joined ^= joined >> np.uint32(15)
-        h, half = joined, 2 * half
+        h, half = joined, half + step
     h = h * JOIN[-1]
     h ^= h >> np.uint32(16)
     return h
 
 
-def _minima(padded: list[str], out: np.ndarray) -> None:
-    """The least of each line's shingle hashes under each of TIMES."""
+def _minima(padded: list[str], out: np.ndarray, width: int = SHINGLE) -> None:
+    """The least of each line's shingle hashes under each of the width's factors."""
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
     length = np.array([len(x) for x in padded])
-    h = shingle_hashes(code)
+    h = shingle_hashes(code, width)
     ends = np.cumsum(length)
     within = np.ones(len(code), bool)  # no shingle runs from one line into the next
-    within[(ends[:, None] - np.arange(1, SHINGLE)).ravel()] = False
+    within[(ends[:, None] - np.arange(1, width)).ravel()] = False
     h = h[within[: len(h)]]
-    first = np.concatenate(([0], np.cumsum(length - SHINGLE + 1)[:-1]))
+    first = np.concatenate(([0], np.cumsum(length - width + 1)[:-1]))
     turned = np.empty_like(h)
-    for i, times in enumerate(TIMES):
+    for i, times in enumerate(TIMES if width == SHINGLE else NARROW_TIMES):
         np.minimum.reduceat(np.multiply(h, times, out=turned), first, out=out[i])
 
 
@@ -157,12 +168,12 @@ class Compared:
         self.unlike: set[tuple] = set()
         self.held = 0
 
-    def set_of(self, key: tuple, text: str) -> set[str]:
-        if (found := self.sets.get(key)) is None:
+    def set_of(self, key: tuple, text: str, width: int = SHINGLE) -> set[str]:
+        if (found := self.sets.get((key, width))) is None:
             if self.held > HELD:
                 self.sets.clear()
                 self.held = 0
-            found = self.sets[key] = shingles(text)
+            found = self.sets[key, width] = shingles(text, width)
             self.held += len(found)
         return found
 
@@ -185,7 +196,7 @@ class Compared:
             while todo and left:
                 i = todo.pop()
                 key, text = lines[i]
-                mine = probe = None
+                mine: dict[int, tuple[set, set]] = {}
                 top, rest = self.top(key), []
                 for j in left:
                     other, other_text = lines[j]
@@ -196,10 +207,14 @@ class Compared:
                     if pair in self.unlike:
                         rest.append(j)
                         continue
-                    if mine is None:
-                        mine = self.set_of(key, text)
-                        probe = set(islice(mine, PROBE))
-                    if similar(mine, self.set_of(other, other_text), probe):
+                    like = False
+                    for width in (SHINGLE,) if max(len(text), len(other_text)) > SHORT else (NARROW, SHINGLE):
+                        if width not in mine:
+                            own = self.set_of(key, text, width)
+                            mine[width] = own, set(islice(own, PROBE))
+                        if like := similar(mine[width][0], self.set_of(other, other_text, width), mine[width][1]):
+                            break
+                    if like:
                         links.append((i, j))
                         self.root[below] = top
                         todo.append(j)
@@ -224,13 +239,18 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 
 def band_rows(docs: DataFrame) -> DataFrame:
-    """(bucket, a): each band of each line, lines that a batch repeats once."""
+    """(bucket, a): each band of each line, of short lines in both widths, lines that a batch repeats once."""
 
     def of(batch: pa.RecordBatch) -> dict | None:
         line = list(dict.fromkeys(lines_of(batch.column("text").to_pylist())[0]))
         if not line:
             return None
-        return {"bucket": pa.array(band_keys(line).ravel()), "a": pa.array(np.repeat(keys_of(line)[:, 0], BANDS))}
+        a = keys_of(line)[:, 0]
+        bucket, of = band_keys(line).ravel(), np.repeat(a, BANDS)
+        if len(short := np.flatnonzero([len(x) <= SHORT for x in line])):
+            narrow = band_keys([line[i] for i in short.tolist()], NARROW).ravel()
+            bucket, of = np.concatenate((bucket, narrow)), np.concatenate((of, np.repeat(a[short], NARROW_BANDS)))
+        return {"bucket": pa.array(bucket), "a": pa.array(of)}
 
     return mapped(docs, of, "bucket long, a long")
 
@@ -238,7 +258,7 @@ def band_rows(docs: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, tables: Tables) -> DataFrame:
     """(kin, bucket, a, x, y): lines of buckets with different lines; those of one (bucket, x, y) are to be compared.
 
-    Buckets of up to KIN lines that share their smallest line, BANDS of them at most, have the same ``kin``.  Parts of a
+    Buckets of up to KIN lines that share their smallest line, BANDS + NARROW_BANDS of them at most, have the same ``kin``.  Parts of a
     large bucket are paired up: a line stands in each pair that its part is in.
     """
     of = Window.partitionBy("bucket")
