@@ -8,7 +8,7 @@ Spans are in code points, end exclusive.  They come from splitting a text at a r
 and of the matches, summed up in order, give each match's place.
 
 Defined results: null text counts as empty; an empty text and one without secrets have no spans and the digest of the
-empty string; repeated rows share one scan and each get the findings.
+empty string; repeated rows share one scan and each get the findings, rows without an id too.
 """
 
 from __future__ import annotations
@@ -89,8 +89,12 @@ def scan(df: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...]
     # One path stands for each blob.  Digests alone are grouped; texts move once, dealt by the path.
     unseen = docs.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(known.where(F.col("rule_version") == version), "blob", "left_anti")
     blobs = docs.select("doc_id", "text").join(unseen, "doc_id").select("blob", "text")
+    # A blob that only rows without an id have is fetched by its digest.
+    nameless = docs.where("doc_id is null")
+    pathless = nameless.select("blob", "text").join(unseen.where("doc_id is null").select("blob"), "blob", "left_semi").dropDuplicates(["blob"]) if nameless.take(1) else None
     # A path given twice with different texts has a row for each; only the text that is the blob's counts.
-    new = tables.put(scan_blobs(blobs.where(F.sha2("text", 256) == F.col("blob")).dropDuplicates(["blob"]) if _repeats(df, id_col) else blobs, rules, version))
+    blobs = blobs.where(F.sha2("text", 256) == F.col("blob")).dropDuplicates(["blob"]) if _repeats(df, id_col) else blobs
+    new = tables.put(scan_blobs(blobs if pathless is None else blobs.unionByName(pathless), rules, version))
     everything = known.unionByName(new)
     current = everything.where(F.col("rule_version") == version).select("blob", "findings")
     return docs.select("doc_id", "blob").join(current, "blob", "left"), everything
@@ -98,7 +102,7 @@ def scan(df: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...]
 
 def _repeats(df: DataFrame, id_col: str) -> bool:
     """Whether an id stands in more than one row."""
-    return bool(df.groupBy(id_col).count().where("count > 1").limit(1).take(1))
+    return bool(df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).take(1))
 
 
 def report(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
