@@ -3,6 +3,9 @@
 Language ID drops documents in no language; fuzzy line dedup cuts repeated lines from the texts; SimHash keeps one document
 of each group of near duplicates; raking samples the documents to target shares of source, language and topic; byte-level
 BPE encodes what is left.
+
+Documents with a null doc_id go through all stages like any other and keep the null; a stage that needs a key makes one of
+their text.
 """
 
 from __future__ import annotations
@@ -20,6 +23,15 @@ from xmlframe.llm.queries import tokenizer
 #: Share of the words that the mixture keeps.
 KEEP = 0.5
 
+#: A row's key while a stage runs.
+KEY = "_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds KEY: the doc_id, and for a row without one a number above 2^62 made of its text, so that equal texts share it."""
+    of_text = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
+    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), of_text))
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language; null texts and texts without a letter go."""
@@ -28,20 +40,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, repeated lines cut from their texts; n_chars follows the text."""
-    kept = linededup.deduplicated(docs)
+    kept = linededup.deduplicated(keyed(docs), KEY).drop(KEY)
     return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi")
+    """One document of each group of near duplicates: the one with the smallest doc_id, one without an id only if none has any.
+
+    Rows without an id whose texts are equal are one document.
+    """
+    rows = keyed(docs)
+    if (nameless := rows.where("doc_id is null")).take(1):
+        one = nameless.groupBy(KEY).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*", KEY)
+        rows = rows.where("doc_id is not null").unionByName(one)
+    first = simhash.near_duplicates(rows, KEY).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    return rows.join(first, F.col(KEY) == F.col("_first"), "left_semi").drop(KEY)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are drawn at their calibrated probabilities: KEEP of all words, whatever the rarest cell."""
-    drawn = mixing.mix_documents(docs, keep=KEEP).where("sampled").select(F.col("doc_id").alias("_drawn")).distinct()
-    return docs.join(drawn, F.col("doc_id") == F.col("_drawn"), "left_semi")
+    rows = keyed(docs)
+    drawn = mixing.mix_documents(rows, id_col=KEY, keep=KEEP).where("sampled").select(F.col("doc_id").alias("_drawn")).distinct()
+    return rows.join(drawn, F.col(KEY) == F.col("_drawn"), "left_semi").drop(KEY)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

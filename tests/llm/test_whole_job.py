@@ -93,3 +93,24 @@ def test_rows_without_an_id_are_scanned(spark):
     got = sorted((str(r["doc_id"]), r["n_assign"], r["n_access"], r["spans"]) for r in secrets.report(found).collect())
     assert got == sorted([("None", 0, 1, "access:10:30")] * 2 + [("None", 0, 1, "access:0:20"), ("1", 0, 1, "access:0:20"), ("2", 1, 0, "assign:0:17")] + [("None", 0, 0, "")] * 2)
     assert ledger.count() == 5 and ledger.select("blob").distinct().count() == 5
+
+
+# The pipeline: documents without an id.
+
+
+def test_documents_without_an_id_stay(spark):
+    import corpus_pipeline as P
+
+    common.prepare(spark)
+    draw = random.Random(3)
+    text = lambda: " ".join("".join(draw.choices("abcdefghijklmnop", k=6)) for _ in range(80))
+    texts = [text() for _ in range(6)]
+    rows = [(1, texts[0]), (2, texts[1]), (None, texts[0]), (None, texts[2]), (None, texts[2]), (None, texts[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", texts[0]), ("2", texts[1]), ("None", texts[2]), ("None", texts[3])])
+    lined = {(r["doc_id"], r["text"]) for r in P.line_dedup(spark, docs, "").collect()}
+    assert {(1, texts[0]), (2, texts[1]), (None, texts[3]), (None, "")} <= lined
+    many = spark.createDataFrame([(None, text(), "en", "s", 1) for _ in range(300)], docs.schema)
+    assert 90 < P.mixture(spark, many, "").count() < 210
