@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from xmlframe.llm import common, linededup, mixing, secrets
+from xmlframe.llm import common, langid, linededup, mixing, secrets
 
 # 3. Mixing, sized.
 
@@ -114,3 +114,13 @@ def test_documents_without_an_id_stay(spark):
     assert {(1, texts[0]), (2, texts[1]), (None, texts[3]), (None, "")} <= lined
     many = spark.createDataFrame([(None, text(), "en", "s", 1) for _ in range(300)], docs.schema)
     assert 90 < P.mixture(spark, many, "").count() < 210
+
+
+# 7. Language ID without labels.
+
+
+def test_nothing_learned_drops_nothing(spark):
+    common.prepare(spark)
+    rows = [(1, "some words", None), (2, "", None), (3, None, None), (4, "12 34", None), (5, "autres mots", None)]
+    unlabelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in langid.known(unlabelled).collect()} == {1, 5}

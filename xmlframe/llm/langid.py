@@ -118,12 +118,18 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows, with all columns, whose text is in some language: not ``und``."""
+    """The rows, with all columns, whose text is in some language: not ``und``.
+
+    Where nothing could be learned, all texts with a letter may be.
+    """
     model = fit(df, id_col, text_col, lang_col)
     prepare(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array([x != "und" for x in held.value.predict(batch.column(text_col).to_pylist())[0]], pa.bool_()))
+        texts = batch.column(text_col).to_pylist()
+        if not held.value.langs:
+            return batch.filter(pa.array([bool(t and LETTER.search(t)) for t in texts], pa.bool_()))
+        return batch.filter(pa.array([x != "und" for x in held.value.predict(texts)[0]], pa.bool_()))
 
     return df.mapInArrow(lambda batches: (keep(b) for b in batches), df.schema)
