@@ -232,10 +232,10 @@ def roots(n, pairs, least):
     return [best[find(i)] for i in range(n)]
 
 
-@pytest.mark.parametrize("shard", [simhash.SHARD_SIZE, 20])
-def test_simhash(odd, none, docs, shard, monkeypatch):
+@pytest.mark.parametrize("shard, leaf", [(simhash.SHARD_SIZE, simhash.LEAF_SIZE), (200, 200), (20, 20), (1, 5)])
+def test_simhash(odd, none, docs, shard, leaf, monkeypatch):
     original = simhash.linked
-    monkeypatch.setattr(simhash, "linked", lambda d, t, r=3, s=0: original(d, t, r, shard))
+    monkeypatch.setattr(simhash, "linked", lambda d, t, r=3: original(d, t, r, shard, leaf))
     for df in (odd, docs):
         rows = [(r["doc_id"], plain_fingerprint(r["text"])) for r in df.select("doc_id", "text").collect()]
         fp = np.array([f for _, f in rows], np.uint64)
@@ -245,18 +245,48 @@ def test_simhash(odd, none, docs, shard, monkeypatch):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def clustered(n, seed, flips=6):
+    """Distinct fingerprints: half of them unrelated, half within a few bits of one, and some near the unrelated ones."""
+    draw = np.random.default_rng(seed)
+    base = draw.integers(0, 1 << 63, n // 2, dtype=np.uint64)
+    flip = lambda x: x ^ (np.uint64(1) << draw.integers(0, 64, len(x), dtype=np.uint64))
+    cluster = np.repeat(base[:1], n // 2)
+    for _ in range(flips):
+        cluster = np.where(draw.random(len(cluster)) < 0.6, flip(cluster), cluster)
+    return np.unique(np.concatenate([base, cluster, flip(flip(base[: n // 10])), flip(flip(flip(base[: n // 10])))]))
+
+
+def near_roots(points):
+    near = [(i, i + j + 1) for i in range(len(points)) for j in np.flatnonzero(np.bitwise_count(points[i + 1 :] ^ points[i]) <= 3).tolist()]
+    return roots(len(points), near, range(len(points)))
+
+
 def test_vantage_points_lose_no_pair():
-    draw = np.random.default_rng(4)
-    base = draw.integers(0, 1 << 63, 300, dtype=np.uint64)
-    points = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << draw.integers(0, 64, 300, dtype=np.uint64)) for _ in range(5))]))
-    tree = simhash.Tree(points[::3], len(points), 3, 100)
-    assert tree.leaves > 4
-    found = set()
-    for rows, _ in tree.place(points):
-        i, j = simhash.spanning_links(points[rows], 3)
-        found |= set(zip(rows[i].tolist(), rows[j].tolist()))
-    near = np.argwhere(np.triu(np.bitwise_count(points[:, None] ^ points[None, :]) <= 3, 1))
-    assert roots(len(points), found, range(len(points))) == roots(len(points), near, range(len(points)))
+    for flips in (2, 6):
+        points = clustered(3000, 4, flips)
+        i, j = simhash.spanning_links(points, 3)
+        assert roots(len(points), zip(i.tolist(), j.tolist()), range(len(points))) == near_roots(points)
+        assert len(i) < len(points)
+
+
+def test_a_large_group_of_near_copies_is_dealt_again(spark):
+    points = clustered(4000, 9)
+    df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long").repartition(3)
+    at = {int(x): k for k, x in enumerate(points.view(np.int64))}
+    for shard in (40, 400, simhash.SHARD_SIZE):
+        links = simhash.linked(df, common.Tables(spark, "test"), 3, shard, 100).collect()
+        assert roots(len(points), [(at[r["u"]], at[r["v"]]) for r in links], range(len(points))) == near_roots(points)
+
+
+def test_each_tree_has_a_fingerprint_once():
+    draw = np.random.default_rng(2)
+    for n in (10_000, 160_000):
+        points = draw.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)
+        forest = simhash.Forest(points[:: n // 5000], n, 2000)
+        for tree, bits in zip(forest.trees, simhash.free_blocks(())):
+            size = np.bincount(tree.leaf[simhash.gather(points, bits)], minlength=tree.leaves)
+            assert size.sum() == n and size.max() < 2 * 2000 and tree.leaves >= n // 2000
+    assert all(sum(sorted(map(len, simhash.free_blocks(p)))) == 64 - sum(simhash.WIDTHS[: len(p)]) for p in ((), (1,), (3, 0), (2, 2, 3)))
 
 
 # 7. Language ID.
