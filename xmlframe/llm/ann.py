@@ -10,7 +10,8 @@ most QUERY_BYTES.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another
 length than the most common (the shortest of equals); equal cosines go to the smaller id; repeated vectors are rows of
-their own; a query with no candidate has no rows.
+their own; a query with no candidate has no rows; rows with a null id take no part, as neither query nor candidate; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def index(df: DataFrame, tables: Tables, id_col: str, vector_col: str) -> tuple[DataFrame, Codebook, int] | None:
     """(vec_id, embedding, code) of every row that takes part, the codebook, and the length of the vectors."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).where(usable(F.col("embedding")))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     lengths = rows.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     if lengths is None:
         return None

@@ -6,7 +6,8 @@ first, until no pair is in the vocabulary.  Both tiers run once per distinct pre
 size keeps what they returned.
 
 Defined results: null and empty text encode to no ids; special tokens do not exist (their strings are ordinary text);
-repeated rows are encoded alike, each for itself; text of any length is encoded whole.
+repeated rows are encoded alike, each for itself; text of any length is encoded whole; a row with a null id is encoded like
+any other and keeps the null; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,12 +1,14 @@
 """What the operators of this subpackage share: reading tables, tables in the shared folder, Arrow batches.
 
 Long lineages are cut by writing a Parquet table into the folder that ``spark.checkpoint.dir`` names, which all
-executors share.  Only where that setting is absent (tests, notebooks) a folder of our own is made.
+executors share.  Only where that setting is absent and Spark runs in one process (tests, notebooks) a folder of our own
+is made; on a cluster its absence is an error.  What is written goes when it is dropped, at the latest with Spark's process.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -22,6 +24,9 @@ from ..shipping import ship
 #: Rows in an Arrow batch.  Documents can be long, so batches are short; a batch is also limited in bytes by Spark.
 BATCH_ROWS = 1000
 
+#: The folder made for an application in one process.
+_OWN: dict[str, str] = {}
+#: Folders of written tables, in order.
 _LEFT: list[str] = []
 
 
@@ -37,21 +42,24 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for written tables: ``spark.checkpoint.dir``, else one that this process made."""
+    """The folder for written tables: ``spark.checkpoint.dir``, else, in one process, one that this process made."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if own:
         return own.rstrip("/")
-    own = tempfile.mkdtemp(prefix="xmlframe-checkpoints-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    atexit.register(shutil.rmtree, own, True)
-    return f"file://{own}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if (app := spark.sparkContext.applicationId) not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="xmlframe-checkpoints-")
+        atexit.register(shutil.rmtree, _OWN[app], True)
+    return f"file://{_OWN[app]}"
 
 
 class Tables:
-    """Written tables of one run of an operator: ``put`` cuts lineage, ``drop`` gives back the space early."""
+    """Written tables of one run of an operator: ``put`` cuts lineage, ``drop`` and ``keep`` give back the space early."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.top, self.n = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}", 0
+        self.paths: set[str] = set()
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -59,27 +67,45 @@ class Tables:
         df.write.parquet(path)
         if self.n == 1:
             _LEFT.append(self.top)
+            at, system = _file_system(self.spark, self.top)
+            system.deleteOnExit(at)
+        self.paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._written_at = path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        if path := getattr(df, "_written_at", None):
+        if (path := getattr(df, "_written_at", None)) in self.paths:
+            self.paths.discard(path)
             remove(self.spark, path)
 
+    def keep(self, *wanted: DataFrame) -> None:
+        """Drops all tables but these, which a result still reads."""
+        for path in self.paths - {getattr(df, "_written_at", None) for df in wanted}:
+            self.paths.discard(path)
+            remove(self.spark, path)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
 
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at, system = _file_system(spark, path)
+    system.delete(at, True)
 
 
-@atexit.register
-def _tidy() -> None:
-    """Tables that results may still have been reading go with the process."""
-    for top in _LEFT:
-        if top.startswith("file://"):
-            shutil.rmtree(top.removeprefix("file://"), ignore_errors=True)
+@contextlib.contextmanager
+def dropping(spark: SparkSession, but: Tables) -> Iterator[None]:
+    """Removes, at the end, the tables that were written meanwhile but for those of ``but``; nothing may read them later."""
+    before = set(_LEFT)
+    try:
+        yield
+    finally:
+        for top in [x for x in _LEFT if x not in before and x != but.top]:
+            remove(spark, top)
+            _LEFT.remove(top)
 
 
 def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -111,9 +137,41 @@ def as_batch(out: pa.RecordBatch | dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := out[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)
 
 
+#: Stands for a null id where rows are ordered by id: behind all others.
+LAST = (1 << 63) - 1
+
+
+def held_out(id_col: Column) -> Column:
+    """Rows kept for tests: crc32 of the id as text, modulo 5, is 0.  A row without an id is not one."""
+    return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
+
+
 def learnable(id_col: Column) -> Column:
-    """Rows from which labels may be learned: crc32 of the id as text, modulo 5, is not 0."""
-    return F.crc32(id_col.cast("string")) % 5 != 0
+    """Rows from which labels may be learned: those with an id that are not held out."""
+    return id_col.isNotNull() & ~held_out(id_col)
+
+
+def told_apart(df: DataFrame, id_col: str, text_col: str, tables: Tables, most: int = 4_000_000) -> DataFrame:
+    """(doc_id, v, text): rows of one id with different texts get different ``v``; v is 0 for all other rows.
+
+    A null id becomes LAST, null text is empty.  Ids that have several texts are broadcast up to ``most`` of them (8 bytes
+    each); beyond that every row gets its text's hash.
+    """
+    docs = text_of(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+    h = F.xxhash64("text")
+    several = tables.put(docs.select("doc_id", h.alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select(F.col("doc_id").alias("twin")))
+    n = several.count()
+    if not n:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("v"), "text")
+    if n > most:
+        return docs.select("doc_id", h.alias("v"), "text")
+    marked = docs.join(F.broadcast(several), F.col("doc_id") == F.col("twin"), "left")
+    return marked.select("doc_id", F.when(F.col("twin").isNotNull(), h).otherwise(F.lit(0)).alias("v"), "text")
+
+
+def own_id(col: Column) -> Column:
+    """The id as the caller knows it: null again for LAST."""
+    return F.when(col != LAST, col)
 
 
 def share(id_col: Column, seed: int = 7) -> Column:
