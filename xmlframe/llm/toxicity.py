@@ -9,7 +9,8 @@ and 4-gram features, learned from a bounded sample of labelled rows (SAMPLE); a
 weights gives its score.  Halves of the sample weigh each other's words, so that it is fitted on words not seen before.
 
 Defined results: null and empty texts get the score of a text without words; where no labelled row of both kinds exists,
-every score is 0; labels given twice count as the larger; repeated rows are scored alike.
+every score is 0; labels given twice count as the larger; repeated rows are scored alike; rows with a null id are scored with a null doc_id,
+are not held out and not learned from.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learnable, mapped, prepare, share, text_of
+from .common import held_out, learnable, mapped, prepare, share, text_of
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 6000
@@ -48,9 +49,23 @@ SUBSTITUTED, REPEATED, DIVIDED, BROKEN, KEPT = 0.7, 0.8, 0.2, 6.0, 9.0
 DIVIDERS = set(".-_*~'`,/\\:;=^|+ #%&\"")
 EDGES = ".,;:!?\"'()[]{}<>|*%$&#~-_=+/\\"
 
-DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(<*#€£¡._~'`/\\:;=^-].*[^\W\d_]|[0-9@$!|€£¡][^\W\d_]{2,}|[^\W\d_]{2,}[0-9@$!|€£¡]|(\w)\1\1|[a-z0-9@$!]+[@$!*][a-z0-9@$!]+", re.S)
+LETTER = re.compile(r"[^\W\d_]")
+SYMBOL = re.compile(r"[0-9@$!|+(<*#€£¡._~'`/\\:;=^-]")
+#: What shows a disguise by itself, without a letter on each side.  No part of it repeats, so a search takes one pass.
+ODD = re.compile(r"[0-9@$!|€£¡][^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|€£¡]|(\w)\1\1|[a-z0-9@$!][@$!*][a-z0-9@$!]")
 THRICE = re.compile(r"(\w)\1\1")
-SPACED = re.compile(r"(?<!\S)(?:[\w@$!*][\s._*-]+){3,}[\w@$!*](?!\w)")
+#: Four or more single characters with dividers between.  ``_`` and ``*`` are characters where they stand alone, else
+#: dividers: each place of a text can be read in one way, and a run once read is not read again.
+SPACED = re.compile(r"(?<!\S)(?:(?:[^\W_]|[@$!]|(?<!\S)[_*](?!\S))(?:[\s.-]|(?<=\S)[_*]|[_*](?=\S))++){3,}(?:[^\W_]|[@$!]|(?<!\S)[_*](?!\S))(?![^\W_])")
+#: Runs of one symbol, which say no more than their first three.
+RUN = re.compile(r"([^\w\s]|_)\1{3,}")
+
+
+def disguised(token: str) -> bool:
+    """Whether a symbol stands between letters, or what is ODD anywhere: three searches from where the last one ended."""
+    if (letter := LETTER.search(token)) and (symbol := SYMBOL.search(token, letter.end())) and LETTER.search(token, symbol.end()):
+        return True
+    return ODD.search(token) is not None
 
 
 def codes(text: str) -> np.ndarray:
@@ -104,7 +119,7 @@ def lattice(token: str) -> list[list[tuple[int, float]]]:
 def restore(token: str, cost: list) -> str:
     """The likeliest letters behind a token: exact Viterbi over the lattice, states are the last two letters."""
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for places in lattice(token):
+    for places in lattice(RUN.sub(r"\1\1\1", token)):
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (sum_, path) in best.items():
             row = cost[a][b]
@@ -168,10 +183,10 @@ class Reader:
         shown = token.strip(EDGES)
         out = [shown] if len(shown) > 2 else []
         if shown.isalpha() and " " not in token:
-            disguised = THRICE.search(shown) or token[0] in "@$!"
+            hides = THRICE.search(shown) or token[0] in "@$!"
         else:
-            disguised = len(token) > 2 and (" " in token or DISGUISED.search(token))
-        if disguised:
+            hides = len(token) > 2 and (" " in token or disguised(token))
+        if hides:
             out += [w for x in dict.fromkeys((token.rstrip(".,;:?"), shown)) if x for w in restore(x, self.cost).split() if len(w) > 2]
         return out
 
@@ -299,7 +314,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         score = held.value.score(batch.column("text").to_pylist())
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))}
 
-    return mapped(docs.withColumn("held_out", ~learnable(F.col("doc_id"))), of, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(docs.withColumn("held_out", held_out(F.col("doc_id"))), of, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
