@@ -12,8 +12,9 @@ The sketch has cells in proportion to the input, up to MAX_CELLS in each row, so
 ROWS * MAX_CELLS / 8 bytes.
 
 Defined results: null and empty texts have no words, and texts shorter than a window lose none; a window repeated within
-one document only is kept; repeated rows of one doc_id are
-the same document, so none of them is the other's repeat.
+one document only is kept; repeated rows of one doc_id are the same document, so none of them is the other's repeat, though
+each is judged by its own text; a null id counts as one document behind all others and stays null; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, arrow_schema, as_batch, mapped, prepare, text_of
+from .common import Tables, arrow_schema, as_batch, mapped, own_id, prepare, told_apart
 
 WINDOW = 13
 ROWS = 2
@@ -40,10 +41,12 @@ CELLS_PER_WINDOW = 2
 BLOCK = 1 << 20
 #: Sketches of a block that one task merges at a time.
 FAN_IN = 64
-#: Ids of exact copies that are broadcast, at most (8 bytes each).
+#: Ids of exact copies that are broadcast, at most (16 bytes each).
 MOST_COPIES = 4_000_000
-#: Frequent windows that are broadcast with their smallest document, at most (20 bytes each); more are joined.
+#: Frequent windows that are broadcast with their smallest document, at most (24 bytes each); more are joined.
 MOST_FREQUENT = 1_000_000
+#: Parts that the rows of a frequent window are dealt to where they are joined.
+SALTS = 16
 #: Estimated count from which a window counts as frequent; its rows are then grouped by way of partial results.
 FREQUENT = 200
 
@@ -240,28 +243,47 @@ def prefilter(docs: DataFrame, number: int, width: int) -> Filter:
     return Filter(number, add_up(parts, last=True).collect())  # at most ROWS * number / 4 bytes
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """doc_id of each document whose text is that of a smaller doc_id."""
-    tables = Tables(docs.sparkSession, "copies")
-    same = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("blob"))
+def copies(docs: DataFrame, tables: Tables) -> DataFrame:
+    """(doc_id, v) of each document whose text is that of a smaller doc_id."""
+    same = docs.select("doc_id", "v", F.unhex(F.sha2("text", 256)).alias("blob"))
     least = tables.put(same.groupBy("blob").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1"))
-    return tables.put(same.join(least, "blob").where("leader < doc_id").select("doc_id").distinct())
+    return tables.put(same.join(least, "blob").where("leader < doc_id").select("doc_id", "v").distinct())
+
+
+class Rows:
+    """A set of rows (doc_id, v), held in order."""
+
+    def __init__(self, table: pa.Table):
+        order = np.lexsort((table.column("v").to_numpy(), table.column("doc_id").to_numpy()))
+        self.ids, self.v = table.column("doc_id").to_numpy()[order], table.column("v").to_numpy()[order]
+        self.most = int(np.unique(self.ids, return_counts=True)[1].max(initial=0))  # rows of one id
+
+    def holds(self, batch: pa.RecordBatch) -> np.ndarray:
+        """For each row of the batch whether it is in the set."""
+        ids, v = batch.column("doc_id").to_numpy(), batch.column("v").to_numpy()
+        found = np.zeros(len(ids), bool)
+        at = np.searchsorted(self.ids, ids)
+        for k in range(self.most):
+            here = np.minimum(at + k, len(self.ids) - 1)
+            found |= (self.ids[here] == ids) & (self.v[here] == v)
+        return found
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by spaces) and, on demand, kept (text)."""
     spark = df.sparkSession
     prepare(spark)
-    docs = text_of(df, id_col, text_col)
-    known = copies(docs)
+    tables = Tables(spark, "substring")
+    docs = told_apart(df, id_col, text_col, tables)
+    known = copies(docs, tables)
     # Copies are set aside where their ids are few enough to broadcast; else their windows go the way of all others.
-    ids = np.sort(known.toArrow().column(0).to_numpy()) if known.count() <= MOST_COPIES else np.empty(0, np.int64)
-    aside = spark.sparkContext.broadcast(ids)
+    set_aside = Rows((known if known.count() <= MOST_COPIES else known.limit(0)).toArrow())
+    aside = spark.sparkContext.broadcast(set_aside)
 
     def leaders(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(~is_in(batch.column("doc_id").to_numpy(), aside.value)))
+        return batch.filter(pa.array(~aside.value.holds(batch)))
 
-    first = mapped(docs, leaders, "doc_id long, text string") if len(ids) else docs
+    first = mapped(docs, leaders, "doc_id long, v long, text string") if set_aside.most else docs
     number = sketch_size(docs)
     held = spark.sparkContext.broadcast(prefilter(first, number, width))
     frequent = bool(held.value.often)
@@ -273,22 +295,25 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keep = np.flatnonzero(may & (many == often))
             if not len(keep):
                 return None
-            doc = batch.column("doc_id").to_numpy()[row[keep]]
-            return {"a": pa.array(a[keep].view(np.int64)), "b": pa.array((b[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)), "doc_id": pa.array(doc), "at": pa.array(at[keep].astype(np.int32))}
+            doc = batch.select(["doc_id", "v"]).take(pa.array(row[keep]))
+            return {"a": pa.array(a[keep].view(np.int64)), "b": pa.array(b[keep].view(np.int64)), "doc_id": doc.column("doc_id"), "v": doc.column("v"), "at": pa.array(at[keep].astype(np.int32))}
 
-        return mapped(first, of, "a long, b int, doc_id long, at int")
+        return mapped(first, of, "a long, b long, doc_id long, v long, at int")
 
     few = survivors(False).withColumn("least", F.min("doc_id").over(Window.partitionBy("a", "b")))
-    late = few.where("least < doc_id").select("doc_id", "at")
+    late = few.where("least < doc_id").select("doc_id", "v", "at")
     hot = None
     if frequent:  # the smallest document of each frequent window, by partial results
-        least = Tables(spark, "substring").put(survivors(True).groupBy("a", "b").agg(F.min("doc_id").alias("least")))
+        least = tables.put(survivors(True).groupBy("a", "b").agg(F.min("doc_id").alias("least")))
         rows = least.toArrow() if least.count() <= MOST_FREQUENT else None
         if rows is not None and len(pc.unique(rows.column("a"))) == rows.num_rows:
             order = np.argsort(rows.column("a").to_numpy())
             hot = spark.sparkContext.broadcast(tuple(rows.column(c).to_numpy()[order] for c in ("a", "b", "least")))
         else:
-            late = late.unionByName(survivors(True).join(least, ["a", "b"]).where("least < doc_id").select("doc_id", "at"))
+            salts = F.lit(SALTS)  # a frequent window's rows are dealt to several tasks
+            many = survivors(True).withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), salts).cast("int"))
+            of = least.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+            late = late.unionByName(many.join(of, ["a", "b", "salt"]).where("least < doc_id").select("doc_id", "v", "at"))
 
     def frequent_starts(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
         """Starts of frequent windows that an earlier document has, for each row of the batch with any."""
@@ -296,16 +321,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         a = a.view(np.int64)
         known, other, first_doc = hot.value
         found = np.minimum(np.searchsorted(known, a), len(known) - 1)
-        late_here = np.flatnonzero((known[found] == a) & (other[found] == (b >> np.uint64(32)).astype(np.uint32).view(np.int32)) & (first_doc[found] < batch.column("doc_id").to_numpy()[row]))
+        late_here = np.flatnonzero((known[found] == a) & (other[found] == b.view(np.int64)) & (first_doc[found] < batch.column("doc_id").to_numpy()[row]))
         rows, begin = np.unique(row[late_here], return_index=True)
         return dict(zip(rows.tolist(), np.split(at[late_here], begin[1:])))
 
-    late = late.groupBy("doc_id").agg(F.collect_list("at").alias("at"))  # as long as one document
+    late = late.groupBy("doc_id", "v").agg(F.collect_list("at").alias("at"))  # as long as one document
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"doc_id": batch.column("doc_id"), "n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-        starts, copied = batch.column("at"), is_in(batch.column("doc_id").to_numpy(), aside.value)
+        starts, copied = batch.column("at"), aside.value.holds(batch)
         more = frequent_starts(batch) if hot is not None else {}
         for i, text in enumerate(batch.column("text").to_pylist()):
             words = text.encode().split()
@@ -327,14 +352,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out["kept"].append(joined.decode())
         return out
 
-    return mapped(docs.join(late, "doc_id", "left").select("doc_id", "text", "at"), cut, schema)
-
-
-def is_in(ids: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(ids), bool)
-    at = np.searchsorted(ordered, ids)
-    return (at < len(ordered)) & (ordered[np.minimum(at, len(ordered) - 1)] == ids)
+    return mapped(docs.join(late, ["doc_id", "v"], "left").select("doc_id", "v", "text", "at"), cut, schema).withColumn("doc_id", own_id(F.col("doc_id")))
 
 
 def oracle_sql() -> str:
