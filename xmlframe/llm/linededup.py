@@ -16,7 +16,8 @@ but never too few.
 
 Defined results: null text counts as empty and has no lines to remove; blank lines are kept and compared with nothing; a
 line shorter than a shingle is one shingle; repeated rows lose their lines to the first of them (same id: the first line
-of equal number is kept in each copy).
+of equal number is kept in each copy); rows of one id with different texts are documents of their own; rows with a null id
+come after all others and keep the null.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, arrow_schema, as_batch, mapped, prepare, text_of
+from .common import LAST, Tables, arrow_schema, as_batch, mapped, own_id, prepare, told_apart
 from .graph import components
 
 SHINGLE = 8
@@ -51,6 +52,8 @@ KIN = 256
 HELD = 1_000_000
 #: Shingles of a line that are looked up in another before all are.
 PROBE = 64
+#: Rows of a line from which it counts as common (or a thousandth of all lines, so that there are few).
+COMMON = 100_000
 #: Bits that mark candidate lines.
 MARKS = 1 << 27
 
@@ -226,16 +229,17 @@ class Compared:
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """(a, b, doc_id, line) of each line."""
+    """(a, b, doc_id, v, line) of each line."""
 
     def of(batch: pa.RecordBatch) -> dict | None:
         line, row, number = lines_of(batch.column("text").to_pylist())
         if not line:
             return None
         keys = keys_of(line)
-        return {"a": pa.array(keys[:, 0]), "b": pa.array(keys[:, 1]), "doc_id": batch.column("doc_id").take(pa.array(row)), "line": pa.array(number, pa.int32())}
+        of = batch.select(["doc_id", "v"]).take(pa.array(row))
+        return {"a": pa.array(keys[:, 0]), "b": pa.array(keys[:, 1]), "doc_id": of.column("doc_id"), "v": of.column("v"), "line": pa.array(number, pa.int32())}
 
-    return mapped(docs, of, "a long, b long, doc_id long, line int")
+    return mapped(docs, of, "a long, b long, doc_id long, v long, line int")
 
 
 def band_rows(docs: DataFrame) -> DataFrame:
@@ -285,7 +289,7 @@ def marks(lines: DataFrame) -> np.ndarray:
 
 
 def marked_lines(docs: DataFrame, bits, tables: Tables) -> DataFrame:
-    """(a, b, doc_id, line, text): the marked lines, each once, at its first place."""
+    """(a, b, doc_id, v, line, text): the marked lines, each once, at its first place."""
 
     def of(batch: pa.RecordBatch) -> dict | None:
         line, row, number = lines_of(batch.column("text").to_pylist())
@@ -294,34 +298,36 @@ def marked_lines(docs: DataFrame, bits, tables: Tables) -> DataFrame:
         keys = keys_of(line)
         at = keys[:, 0] % MARKS
         keep = np.flatnonzero(bits.value[at >> 6] >> (at & 63) & 1)
-        ids = batch.column("doc_id").to_numpy()
+        ids, v = batch.column("doc_id").to_numpy(), batch.column("v").to_numpy()
         first: dict[str, tuple] = {}
         for i in keep.tolist():
-            place = (int(ids[row[i]]), number[i], i)
+            place = (int(ids[row[i]]), int(v[row[i]]), number[i], i)
             if line[i] not in first or place < first[line[i]]:
                 first[line[i]] = place
-        i = np.array([p[2] for p in first.values()], np.int64)
-        return {"a": pa.array(keys[i, 0]), "b": pa.array(keys[i, 1]), "doc_id": [p[0] for p in first.values()], "line": [p[1] for p in first.values()], "text": list(first)}
+        i = np.array([p[3] for p in first.values()], np.int64)
+        places = {name: [p[k] for p in first.values()] for k, name in enumerate(("doc_id", "v", "line"))}
+        return {"a": pa.array(keys[i, 0]), "b": pa.array(keys[i, 1]), **places, "text": list(first)}
 
-    found = mapped(docs, of, "a long, b long, doc_id long, line int, text string")
-    return tables.put(found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line", "text")).alias("first")).select("a", "b", "first.*"))
+    found = mapped(docs, of, "a long, b long, doc_id long, v long, line int, text string")
+    return tables.put(found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "v", "line", "text")).alias("first")).select("a", "b", "first.*"))
 
 
 def links(docs: DataFrame, tables: Tables) -> DataFrame:
-    """Verified links (u, v) between the first places (doc_id, line) of different lines."""
+    """Verified links (u, v) between the first places (doc_id, v, line) of different lines."""
     spark = docs.sparkSession
     pairs = candidates(docs, tables)
     bits = spark.sparkContext.broadcast(marks(pairs.select("a").distinct()))
     lines = marked_lines(docs, bits, tables)
-    to = arrow_schema("u struct<doc_id:long,line:int>, v struct<doc_id:long,line:int>")
+    schema = "u struct<doc_id:long,v:long,line:int>, v struct<doc_id:long,v:long,line:int>"
+    to = arrow_schema(schema)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, key, bucket, rows = Compared(), None, None, []
         out: list[tuple] = []
 
         def compare() -> None:
-            place = [{"doc_id": r[2], "line": r[3]} for r in rows]
-            out.extend((place[i], place[j]) for i, j in known.links([(r[:2], r[4]) for r in rows]))
+            place = [{"doc_id": r[2], "v": r[3], "line": r[4]} for r in rows]
+            out.extend((place[i], place[j]) for i, j in known.links([(r[:2], r[5]) for r in rows]))
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -340,17 +346,22 @@ def links(docs: DataFrame, tables: Tables) -> DataFrame:
 
     joined = pairs.join(lines, "a")
     dealt = joined.repartition("kin", "x", "y").sortWithinPartitions("kin", "x", "y", "bucket")
-    return dealt.select("kin", "x", "y", "bucket", "a", "b", "doc_id", "line", "text").mapInArrow(verify, "u struct<doc_id:long,line:int>, v struct<doc_id:long,line:int>")
+    return dealt.select("kin", "x", "y", "bucket", "a", "b", "doc_id", "v", "line", "text").mapInArrow(verify, schema)
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): numbers of the lines to remove, for documents that have any."""
-    tables = Tables(docs.sparkSession, "lines")
+def removals(docs: DataFrame, tables: Tables) -> DataFrame:
+    """(doc_id, v, gone): numbers of the lines to remove, for documents (doc_id, v, text) that have any."""
     roots = components(links(docs, tables), tables)
     keys = tables.put(line_keys(docs))
-    first = tables.put(keys.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).join(roots, F.col("first") == F.col("node"), "left").where("n > 1 or root is not null").select("a", "b", F.coalesce("root", "first").alias("keep")))
-    gone = keys.join(first, ["a", "b"]).where("doc_id <> keep.doc_id or line <> keep.line")
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))  # as long as one document
+    place = F.struct("doc_id", "v", "line")
+    first = tables.put(keys.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots, F.col("first") == F.col("node"), "left").where("n > 1 or root is not null").select("a", "b", "n", F.coalesce("root", "first").alias("keep")))
+    # Lines that very many rows have (fewer than a thousand can) are broadcast; the others are joined.
+    many = max(COMMON, keys.count() // 1000)
+    common = F.broadcast(first.where(F.col("n") > many).drop("n"))
+    found = keys.join(common, ["a", "b"], "left")
+    rest = found.where("keep is null").drop("keep").join(first.where(F.col("n") <= many).drop("n"), ["a", "b"])
+    gone = found.where("keep is not null").unionByName(rest).where(place != F.col("keep"))
+    return gone.groupBy("doc_id", "v").agg(F.collect_set("line").alias("gone"))  # as long as one document
 
 
 def without(text: str, gone: list[int] | None) -> str:
@@ -363,7 +374,8 @@ def without(text: str, gone: list[int] | None) -> str:
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_lines (not blank), n_removed, kept_sha256 (of the text that is left) and, on demand, kept."""
     prepare(df.sparkSession)
-    docs = text_of(df, id_col, text_col)
+    tables = Tables(df.sparkSession, "lines")
+    docs = told_apart(df, id_col, text_col, tables)
 
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"doc_id": batch.column("doc_id"), "n_lines": [], "n_removed": [], "kept_sha256": [], "kept": []}
@@ -377,12 +389,22 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         return out
 
     schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return mapped(docs.join(removals(docs), "doc_id", "left").select("doc_id", "text", "gone"), cut, schema)
+    return mapped(docs.join(removals(docs, tables), ["doc_id", "v"], "left").select("doc_id", "text", "gone"), cut, schema).withColumn("doc_id", own_id(F.col("doc_id")))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the removed lines cut from its text; all columns and rows stay, null texts too."""
     prepare(df.sparkSession)
-    gone = removals(text_of(df, id_col, text_col)).withColumnsRenamed({"doc_id": "_of", "gone": "_gone"})
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.transform(F.split(text_col, "\n", -1), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n"))
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_of"), "left").withColumn(text_col, kept).select(*df.columns)
+    tables = Tables(df.sparkSession, "lines")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else without(t, g) for t, g in zip(texts.to_pylist(), gone.to_pylist())], pa.string())
+
+    gone = removals(told_apart(df, id_col, text_col, tables), tables)
+    # Columns of ``df`` travel in one struct, so that their names clash with nothing; v is the text's hash or 0.
+    rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    found = rows.join(gone.withColumnRenamed("doc_id", "of"), (F.col("doc_id") == F.col("of")) & F.col("v").isin(F.lit(0), F.col("h")), "left")
+    kept = cut(F.when(F.col("gone").isNotNull(), F.col("text")), "gone")
+    return found.withColumn("kept", kept).select(*[F.when(F.col("gone").isNull(), F.col(f"row.`{c}`")).otherwise(F.col("kept")).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in df.columns])
