@@ -14,6 +14,14 @@ from .common import prepare, read
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+#: Target shares of the mixture's budget by language; sources and topics get the square roots of their own shares.
+LANGUAGES = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.15, "": 0.05}}
+#: The mixture's size as a share of all words, and how often a document may be taken.
+BUDGET, REPEATS = 0.5, 4
+#: Steps in which the secret scan takes the documents, each with the ledger of those before.
+STEPS = 2
+
+
 def tokenizer() -> tuple[str, str]:
     """(path of the vocabulary, pre-token pattern)."""
     import public_tokenizers
@@ -30,11 +38,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(read(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+    return mixing.mix_documents(read(spark, sf_dir, "documents"), LANGUAGES, budget=BUDGET, repeats=REPEATS).withColumn("rate", F.round("rate", 6))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(read(spark, sf_dir, "documents"))
+    found, _ = secrets.scan_in_steps(read(spark, sf_dir, "documents"), STEPS)
     return secrets.report(found)
 
 
@@ -75,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.oracle_sql(), "op4_secret_scan": secrets.oracle_sql(), "op5_substring_dedup": substring.oracle_sql(), "op10_top_documents": topk.oracle_sql()}
+    return {"op3_source_mixing": mixing.oracle_sql(LANGUAGES, BUDGET, REPEATS), "op4_secret_scan": secrets.oracle_sql(), "op5_substring_dedup": substring.oracle_sql(), "op10_top_documents": topk.oracle_sql()}
