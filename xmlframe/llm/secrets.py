@@ -8,7 +8,8 @@ Spans are in code points, end exclusive.  They come from splitting a text at a r
 and of the matches, summed up in order, give each match's place.
 
 Defined results: null text counts as empty; an empty text and one without secrets have no spans and the digest of the
-empty string; repeated rows share one scan and each get the findings, rows without an id too.
+empty string; repeated rows share one scan and each get the findings; an id with several texts is a path with as many
+versions, each a row; rows with a null id are scanned like any other and keep the null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,26 +79,39 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, version: str =
 
 
 def scan(df: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, blob, findings) of every row, and the ledger with what was new.
+    """(doc_id, blob, findings) of every row, and the ledger with what was new, as a written table.
 
-    ``ledger`` is one that an earlier call returned, kept as a table; its rows of other rule versions stay as they are.
+    A row is one version of the text at a path, so a path may have many rows.  ``ledger`` is one that an earlier call
+    returned; its rows of other rule versions stay as they are.
     """
     spark = df.sparkSession
     tables = Tables(spark, "secrets")
     docs = text_of(df, id_col, text_col).withColumn("blob", F.sha2("text", 256))
-    known = ledger if ledger is not None else spark.createDataFrame([], LEDGER)
-    # One path stands for each blob.  Digests alone are grouped; texts move once, dealt by the path.
-    unseen = docs.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(known.where(F.col("rule_version") == version), "blob", "left_anti")
-    blobs = docs.select("doc_id", "text").join(unseen, "doc_id").select("blob", "text")
+    known = ledger if ledger is not None else empty_ledger(spark)
+    # One path stands for each blob.  Digests alone are grouped; texts move once, dealt by path.
+    least = docs.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    unseen = tables.put(least.join(known.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti"))
+    blobs = docs.join(unseen.where("doc_id is not null").withColumnRenamed("blob", "of"), "doc_id").where(F.col("blob") == F.col("of")).select("blob", "text")
+    # A path given twice with the same text has a row for each.
+    blobs = blobs.dropDuplicates(["blob"]) if _repeats(df, id_col) else blobs
     # A blob that only rows without an id have is fetched by its digest.
-    nameless = docs.where("doc_id is null")
-    pathless = nameless.select("blob", "text").join(unseen.where("doc_id is null").select("blob"), "blob", "left_semi").dropDuplicates(["blob"]) if nameless.take(1) else None
-    # A path given twice with different texts has a row for each; only the text that is the blob's counts.
-    blobs = blobs.where(F.sha2("text", 256) == F.col("blob")).dropDuplicates(["blob"]) if _repeats(df, id_col) else blobs
-    new = tables.put(scan_blobs(blobs if pathless is None else blobs.unionByName(pathless), rules, version))
-    everything = known.unionByName(new)
-    current = everything.where(F.col("rule_version") == version).select("blob", "findings")
-    return docs.select("doc_id", "blob").join(current, "blob", "left"), everything
+    pathless = unseen.where("doc_id is null").select("blob")
+    if pathless.take(1):
+        blobs = blobs.unionByName(docs.where("doc_id is null").select("blob", "text").join(pathless, "blob", "left_semi").dropDuplicates(["blob"]))
+    after = tables.put(known.unionByName(scan_blobs(blobs, rules, version)))
+    tables.keep(after)
+    current = after.where(F.col("rule_version") == version).select("blob", "findings")
+    return docs.select("doc_id", "blob").join(current, "blob", "left"), after
+
+
+def scan_in_steps(df: DataFrame, steps: int, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``scan`` of all rows in ``steps`` parts (by id), as they would arrive one after another: each part reads the ledger
+    that the parts before it wrote, and scans only what that lacks."""
+    ledger = None
+    for k in range(steps):
+        _, ledger = scan(df.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(steps)) == k), ledger, rules, version, id_col, text_col)
+    docs = text_of(df, id_col, text_col).select("doc_id", F.sha2("text", 256).alias("blob"))
+    return docs.join(ledger.where(F.col("rule_version") == version).select("blob", "findings"), "blob", "left"), ledger
 
 
 def _repeats(df: DataFrame, id_col: str) -> bool:
