@@ -1,19 +1,24 @@
 """Exact top-k search by BM25 over an inverted index, with block-max WAND pruning.
 
 Every partition is a shard (cut further where it is large) with an inverted index of its documents, cut into blocks of
-consecutive documents.  Each posting list keeps the largest impact in each block.  For a query the maxima of its terms add
-up to a bound for each block; the blocks of the highest bounds are scored first, and a block whose bound does not reach the
-k-th best score found so far is skipped, so no document that belongs to the result is.  Where most blocks must be scored,
-whole posting lists are read instead of stretches of them.  Document frequencies, the number
-of documents and their mean length are global, so scores of shards compare and merge exactly.
+consecutive documents.  Each posting list keeps its largest impact, and the largest in each block.
 
+A query's floor is a score that its k-th best document is known to reach: from a bounded sample of the documents (SEED of
+them) that is searched first, then from what was found so far.  The query's terms are put in order of how little their lists
+can add for their length.  The pivot is where the bounds of the terms before it add up to LIGHT of the floor: a document that
+holds only those cannot reach it.  So the lists from the pivot on are scored for all documents, and of the lists before it
+only the blocks in which some document can still reach the floor with what the terms before the pivot add at most in that
+block.  All other postings are skipped.  What is found is exact; how much is skipped depends on the data (README).
+
+Document frequencies, the number of documents and their mean length are global, so scores of shards compare and merge exactly.
 Queries are taken in parts with at most QUERY_TERMS terms; parts are broadcast and run over all documents one by one.
 
 Terms are words between ASCII white space, A-Z in lower case.  Scores are rounded to PLACES places before they are ranked,
 so that ties do not hang on the order of a sum.
 
 Defined results: null and empty texts match nothing and, as queries, return nothing; a query is not its own match; equal
-scores go to the smaller doc_id; repeated rows of one id are one candidate each, repeated queries are asked once.
+scores go to the smaller doc_id; repeated rows of one id are one candidate each, repeated queries are asked once; rows with
+a null id count in the statistics but are neither queries nor results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,18 +32,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, arrow_schema, as_batch, mapped, prepare, text_of
+from .common import Tables, arrow_schema, as_batch, mapped, prepare, share, text_of
 
 K1, B = 1.2, 0.75
 PLACES = 6
 #: Documents of a block, and of a shard at most.
-BLOCK, SHARD = 64, 16_384
+BLOCK, SHARD = 16, 16_384
 #: Postings of a shard, about; a shard ends beyond it.
 SHARD_POSTINGS = 6_000_000
 #: Terms of the queries that are broadcast at once.
 QUERY_TERMS = 2_000_000
-#: Blocks that are scored first, and the part of all blocks (1 / WHOLE) beyond which the rest is scored as a whole.
-FIRST, WHOLE = 4, 8
+#: Part of the floor that the terms before the pivot may reach.
+LIGHT = 0.35
+#: Documents of the sample that gives each query its first floor, about.
+SEED = 4096
 
 
 def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
@@ -109,7 +116,7 @@ def stretches(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Shard:
     """Postings of some documents: by term, then document; entries are the stretches of one term in one block.
 
-    ``doc``, ``term`` and ``impact`` come in order of documents.
+    ``doc``, ``term`` and ``impact`` come in order of documents.  ``scored`` of ``held`` postings of its queries were read.
     """
 
     def __init__(self, ids: np.ndarray, doc: np.ndarray, term: np.ndarray, impact: np.ndarray, terms: int):
@@ -122,42 +129,49 @@ class Shard:
         self.block, self.most = block[new], np.maximum.reduceat(self.impact, new) if len(new) else np.empty(0)
         self.first = np.searchsorted(term[new], np.arange(terms + 1))
         self.run = np.append(new, len(term))[self.first]  # postings of term t: run[t] to run[t + 1]
+        self.length = np.diff(self.run)
+        self.top = np.zeros(terms)
+        there = np.flatnonzero(self.length)
+        if len(there):
+            self.top[there] = np.maximum.reduceat(self.most, self.first[there])
         self.blocks = -(-len(ids) // BLOCK)
+        self.scored = self.held = 0
 
     def search(self, own: int, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """(scores, ids) of at least all documents that are among the k best here and reach ``floor``."""
-        entry, of = stretches(self.first[terms], self.first[terms + 1])
-        if not len(entry):
+        here = self.length[terms] > 0
+        terms, weights = terms[here], weights[here]
+        bound = self.top[terms] * weights
+        if not len(terms) or bound.sum() < floor - 10.0**-PLACES:
             return np.empty(0), np.empty(0, np.int64)
-        weight, block = weights[of], self.block[entry]
-        bound = np.bincount(block, weights=self.most[entry] * weight, minlength=self.blocks)
-        bound = np.where(bound > 0, bound + 10.0**-PLACES, -np.inf)
-        # The most promising blocks raise the floor, which then rules out others.
-        chosen = bound >= np.partition(bound, -min(FIRST, self.blocks))[-min(FIRST, self.blocks)]
-        chosen &= bound >= floor
-        score, ids = self._best(own, self._gathered(entry, weight, chosen[block]), k, floor)
-        if len(score) >= k:
-            floor = max(floor, np.partition(score, -k)[-k])
-        rest = (bound >= floor) & ~chosen & np.isfinite(bound)
-        if not rest.any():
-            return score, ids
-        if np.count_nonzero(rest) * WHOLE > self.blocks:
-            # Whole posting lists, copied run by run, take less time than many short stretches of them.
-            return self._best(own, self._whole(terms, weights), k, floor)
-        more, more_ids = self._best(own, self._gathered(entry, weight, rest[block]), k, floor)
-        return np.concatenate((score, more)), np.concatenate((ids, more_ids))
-
-    def _gathered(self, entry: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """Scores of the documents in the chosen entries' blocks, 0 elsewhere."""
-        mine = np.flatnonzero(chosen)
-        posting, part = stretches(self.begin[entry[mine]], self.end[entry[mine]])
-        return np.bincount(self.doc[posting], weights=self.impact[posting] * weight[mine][part], minlength=len(self.ids))
+        size = self.length[terms]
+        order = np.argsort(bound / size, kind="stable")
+        pivot = int(np.searchsorted(np.cumsum(bound[order]), LIGHT * floor))
+        before, after = order[:pivot], order[pivot:]
+        total = self._whole(terms[after], weights[after])
+        self.held += int(size.sum())
+        self.scored += int(size[after].sum())
+        if pivot:
+            entry, of = stretches(self.first[terms[before]], self.first[terms[before] + 1])
+            weight, block = weights[before][of], self.block[entry]
+            more = np.bincount(block, weights=self.most[entry] * weight, minlength=self.blocks)
+            # Documents that stay below have less than the floor as they are, so that they need not be told apart later.
+            alive = np.flatnonzero(total + np.repeat(more, BLOCK)[: len(total)] >= floor - 2 * 10.0**-PLACES)
+            open_ = np.zeros(self.blocks, bool)
+            open_[alive // BLOCK] = True
+            mine = np.flatnonzero(open_[block])
+            posting, part = stretches(self.begin[entry[mine]], self.end[entry[mine]])
+            total += np.bincount(self.doc[posting], weights=self.impact[posting] * weight[mine][part], minlength=len(total))
+            self.scored += len(posting)
+        return self._best(own, total, k, floor)
 
     def _whole(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Scores of all documents."""
+        """Scores of all documents by these terms, whose lists are read run by run."""
         runs = list(zip(self.run[terms].tolist(), self.run[terms + 1].tolist()))
+        if not runs:
+            return np.zeros(len(self.ids))
         impact = np.concatenate([self.impact[a:b] for a, b in runs])
-        impact *= np.repeat(weights, self.run[terms + 1] - self.run[terms])
+        impact *= np.repeat(weights, self.length[terms])
         return np.bincount(np.concatenate([self.doc[a:b] for a, b in runs]), weights=impact, minlength=len(self.ids))
 
     def _best(self, own: int, total: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +185,13 @@ class Shard:
 
 
 def search(docs: DataFrame, held, stats, k: int) -> DataFrame:
-    """(query_id, doc_id, score): the best k of each partition for each query."""
+    """(query_id, doc_id, score): the best k of each partition for each query, those below its floor left out."""
     from .ann import Best
 
     to = arrow_schema("query_id long, doc_id long, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, (idf, mean) = held.value, stats.value
+        queries, (idf, mean, floors) = held.value, stats.value
         best = Best(len(queries.ids), k)
         kept: list[tuple] = []
         documents = postings = 0
@@ -186,7 +200,7 @@ def search(docs: DataFrame, held, stats, k: int) -> DataFrame:
             ids = np.concatenate([x[0] for x in kept])
             shard = Shard(ids, *(np.concatenate([x[i] for x in kept]) for i in (1, 2, 3)), len(queries.number))
             for q, (own, terms, weights) in enumerate(zip(queries.ids, queries.terms, queries.weights)):
-                floor = best.score[q, -1]
+                floor = max(best.score[q, -1], floors[q])
                 score, found = shard.search(own, terms, weights, k, floor)
                 if len(score):
                     best.add(q, score, found)
@@ -212,6 +226,17 @@ def search(docs: DataFrame, held, stats, k: int) -> DataFrame:
     return docs.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
+def first_floors(seeds: DataFrame, ids: list[int], k: int) -> np.ndarray:
+    """For each query the k-th best score of what was found in the sample: a number for each query of the part."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    rows = seeds.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score").toArrow()
+    at = {q: i for i, q in enumerate(ids)}
+    out = np.full(len(ids), -np.inf)
+    for q, s in zip(rows.column("query_id").to_pylist(), rows.column("score").to_pylist()):
+        out[at[q]] = s
+    return out
+
+
 def top_documents(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row with ``is_query``, its whole text as query: query_id, rank (from 1), doc_id, score."""
     spark = df.sparkSession
@@ -224,20 +249,27 @@ def top_documents(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "d
         cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
         return {"doc_id": batch.column("doc_id"), "terms": [[terms[c] for c in code[a:b]] for a, b in zip(cut, cut[1:])], "counts": [n[a:b] for a, b in zip(cut, cut[1:])]}
 
-    asked = tables.put(mapped(docs.where(is_query), terms_of, "doc_id long, terms array<string>, counts array<long>").where(F.size("terms") > 0))
+    named = docs.where("doc_id is not null")
+    asked = tables.put(mapped(text_of(df.where(is_query), id_col, text_col).where("doc_id is not null"), terms_of, "doc_id long, terms array<string>, counts array<long>").where(F.size("terms") > 0))
     parts = math.ceil((asked.agg(F.sum(F.size("terms"))).first()[0] or 0) / QUERY_TERMS)
-    found = None
+    found = sample = None
     for p in range(parts):
         rows = asked.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(parts)) == p).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
         if not rows:
             continue
-        held = spark.sparkContext.broadcast(Queries(rows))
+        queries = Queries(rows)
+        held = spark.sparkContext.broadcast(queries)
         frequency, documents, mean = statistics(docs, held)
         idf = np.log1p((documents - frequency + 0.5) / (frequency + 0.5))
+        if sample is None:
+            sample = tables.put(named.where(share(F.col("doc_id"), 29) < min(1.0, SEED / max(1, documents))).coalesce(spark.sparkContext.defaultParallelism))
+        floors = np.full(len(queries.ids), -np.inf)
+        seeds = search(sample, held, spark.sparkContext.broadcast((idf, mean, floors)), k)
+        floors = first_floors(seeds, queries.ids, k)
         # Many small partitions are read as fewer shards: each shard costs some work for each query.
         shards = max(spark.sparkContext.defaultParallelism, -(-documents // (SHARD // 2)))
-        over = docs.coalesce(shards) if docs.rdd.getNumPartitions() > shards else docs
-        some = search(over, held, spark.sparkContext.broadcast((idf, mean)), k)
+        over = named.coalesce(shards) if named.rdd.getNumPartitions() > shards else named
+        some = search(over, held, spark.sparkContext.broadcast((idf, mean, floors)), k)
         found = some if found is None else found.unionByName(some)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
