@@ -103,7 +103,7 @@ def test_deobfuscation(docs):
         assert word in reader.words(token)
     assert reader.words("plain") == ["plain"]
     # Viterbi finds the least cost among all readings.
-    token, cost = "a1l", reader.cost
+    cost = reader.cost
 
     def price(reading):
         total, a, b = 0.0, 0, 0
@@ -115,8 +115,27 @@ def test_deobfuscation(docs):
 
     from itertools import product
 
-    best = min(product(*toxicity.lattice(token)), key=price)
-    assert reader_text(best) == toxicity.restore(token, cost)
+    for token in ("a1l", "1d10t", "$cum", "a.b", "tr@sh", "f*ck", "s-t-u", "iidd", "m0r0n", "pa+hy", "b4d!", "w e"):
+        best = min(product(*toxicity.lattice(token)), key=price)
+        assert reader_text(best) == toxicity.restore(token, cost)
+
+
+@pytest.mark.parametrize("text", ["_" * 100_000, " " + "_" * 100_000 + "signature x", "*" * 100_000, "a" + "*" * 100_000 + "b", "漢" * 100_000, "漢" * 50_000 + "." + "字" * 50_000, "_ " * 50_000, "a_ " * 33_000, "a b " * 25_000 + "word", "i" * 100_000])
+def test_long_runs_take_no_time(text):
+    import time
+
+    reader = toxicity.Reader(np.random.default_rng(0).random((toxicity.SIZE,) * 3))
+    begin = time.process_time()
+    for token in set(reader.tokens(text)):
+        reader.words(token)
+    assert time.process_time() - begin < 2
+
+
+def test_what_is_spaced_out_is_found():
+    reader = toxicity.Reader(np.random.default_rng(0).random((toxicity.SIZE,) * 3))
+    spaced = lambda text: reader.tokens(text)[len(text.split()) :]
+    assert spaced("you i d i o t now") == ["i d i o t"] and spaced("i_d_i_o_t") == ["i_d_i_o_t"] and spaced("f * c k") == ["f * c k"]
+    assert spaced("a b c") == [] and spaced("a bc d e") == [] and spaced("i.d. i.o.t.") == ["i.d. i.o.t"]
 
 
 def reader_text(reading):
@@ -127,19 +146,33 @@ def reader_text(reading):
 
 
 def test_mixing(spark, odd, none, docs):
-    rows = mixing.mix_documents(odd).collect()
-    assert len(rows) == odd.count() and all(0 <= r["probability"] <= 1 for r in rows)
+    rows = mixing.mix_documents(odd, repeats=3).collect()
+    assert len(rows) == odd.count() and all(0 <= r["rate"] <= 3 and r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in rows)
     assert mixing.mix_documents(none).count() == 0
     cells = spark.createDataFrame([(i, s, l) for i, (s, l) in enumerate([("a", "x")] * 60 + [("a", "y")] * 20 + [("b", "x")] * 10 + [("b", "y")] * 10)], "doc_id long, s string, l string")
     target = {"s": {"a": 0.5, "b": 0.5, "absent": 9.0}, "l": {"x": 0.7, "y": 0.3}}
-    target["s"] = {"a": 0.5, "b": 0.5}
-    got = mixing.mix(cells, {"s": F.col("s"), "l": F.col("l")}, F.lit(1), target).groupBy("s", "l").agg(F.sum("probability").alias("w")).collect()
-    whole = sum(r["w"] for r in got)
-    for dim in ("s", "l"):
-        share = Counter()
-        for r in got:
-            share[r[dim]] += r["w"] / whole
-        assert all(abs(share[k] - v) < 1e-6 for k, v in target[dim].items())
+    for repeats, budget in ((1, 0.3), (4, 1.0), (4, 0.3)):
+        got = mixing.mix(cells, {"s": F.col("s"), "l": F.col("l")}, F.lit(1), target, budget=budget, repeats=repeats).groupBy("s", "l").agg(F.sum("rate").alias("w"), F.max("rate").alias("most"), F.sum("copies").alias("copies")).collect()
+        whole = sum(r["w"] for r in got)
+        assert abs(whole - 100 * budget) < 0.1 and max(r["most"] for r in got) <= repeats
+        for dim in ("s", "l"):
+            share = Counter()
+            for r in got:
+                share[r[dim]] += r["w"] / whole
+            wanted = {k: v for k, v in target[dim].items() if k != "absent"}
+            assert all(abs(share[k] - v) < 2e-3 for k, v in wanted.items())
+        assert abs(sum(r["copies"] for r in got) - whole) < 20
+
+
+def test_many_cells_are_raked_as_few_are(spark, docs, monkeypatch):
+    few = {r["doc_id"]: r["rate"] for r in mixing.mix_documents(docs, Q.LANGUAGES, repeats=2).collect()}
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    monkeypatch.setattr(mixing, "ROUNDS_AT_ONCE", 2)
+    monkeypatch.setattr(mixing, "MOST_ROUNDS", 4)
+    many = {r["doc_id"]: r["rate"] for r in mixing.mix_documents(docs, Q.LANGUAGES, repeats=2).collect()}
+    monkeypatch.setattr(mixing, "FEW_CELLS", 1000)
+    again = {r["doc_id"]: r["rate"] for r in mixing.mix_documents(docs, Q.LANGUAGES, repeats=2).collect()}
+    assert set(few) == set(many) and all(abs(many[i] - again[i]) < 1e-9 for i in many)
 
 
 # 4. Secrets: the oracle query above, and the ledger.
@@ -194,6 +227,16 @@ def test_substring(spark, odd, none, docs, monkeypatch, limits):
     assert substring.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"MOST_COPIES": 0}])
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(substring, k, v)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, b), (None, c), (None, f"more {c}"), (None, a)]
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 20, 0), (5, 20, 20), (5, 20, 0), (9, 20, 20), (None, 20, 0), (None, 21, 0), (None, 20, 20)])
+
+
 def test_sketch_only_overestimates():
     at = np.array([0, 3, 300, 70000], np.int64)
     n = np.array([1, 2, 255, 1])
@@ -303,6 +346,46 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_very_long_texts():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
+    by = defaultdict(list)
+    for r in rows:
+        if r["lang"] and r["text"]:
+            by[r["lang"]].append(r["text"])
+    learned = [(t, k) for k in by for t in by[k][::2][:100]]
+    model = langid.Model(langid.embedded([t for t, _ in learned]), [k for _, k in learned])
+    for k in by:
+        text = (" ".join(by[k][1::2]) * 40)[:2_000_000]
+        assert [model.predict([text[:n]])[0][0] for n in (3_000, 100_000, 2_000_000)] == [k] * 3
+
+
+def test_kernel_is_the_plain_one():
+    """Landmarks that are all training texts, and n-grams as sets: kernel ridge regression by its textbook formula."""
+    import pyarrow.parquet as pq
+
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist() if r["lang"] and r["text"]]
+    learned, asked = [(r["text"][:300], r["lang"]) for r in rows[:120]], [r["text"][:300] for r in rows[500:620]]
+
+    def grams(text):
+        t = " " + " ".join(text.lower().split()) + " "
+        return {t[i : i + n] for n in range(1, langid.MOST + 1) for i in range(len(t) - n + 1)}
+
+    sets, other = [grams(t) for t, _ in learned], [grams(t) for t in asked]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5 + 1  # noqa: E731  (1 for the offset)
+    langs = sorted({k for _, k in learned})
+    y = np.array([langs.index(k) for _, k in learned])
+    weigh = np.bincount(y)[y] * 1.0
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    alpha = np.linalg.solve(k + langid.RIDGE * np.diag(weigh), np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0))
+    raw = np.array([[kernel(a, b) for b in sets] for a in other]) @ alpha
+    model = langid.Model(langid.embedded([t for t, _ in learned]), [k for _, k in learned])
+    ours = model.predict(asked)[0]
+    sure = np.sort(raw, axis=1)[:, -1] - np.sort(raw, axis=1)[:, -2] > 0.2
+    assert sure.sum() > 60 and [langs[i] for i in raw.argmax(axis=1)[sure]] == [x for x, s in zip(ours, sure) if s]
+
+
 # 8. Line dedup.
 
 
@@ -391,9 +474,105 @@ def test_top_documents_in_parts(docs, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_TERMS", 100)
     monkeypatch.setattr(topk, "SHARD", 7)
     monkeypatch.setattr(topk, "BLOCK", 2)
+    monkeypatch.setattr(topk, "SEED", 60)
     assert sorted(map(tuple, topk.top_documents(docs, F.col("doc_id") % 20 == 0).collect())) == whole
 
 
+def test_postings_are_skipped():
+    """A shard finds what scoring everything finds, and reads fewer postings the higher the floor."""
+    draw = np.random.default_rng(3)
+    documents, terms = 4000, 300
+    rarity = 0.5 / np.arange(1, terms + 1) ** 0.7
+    doc, term = np.nonzero(draw.random((documents, terms)) < rarity)
+    impact = np.log(1 / rarity[term]) * draw.uniform(0.5, 2, len(term))
+    shares = []
+    for k in (1, 10):
+        shard = topk.Shard(np.arange(documents), doc, term, impact, terms)
+        for _ in range(30):
+            asked = np.sort(draw.choice(terms, 40, replace=False))
+            weights = draw.integers(1, 3, 40).astype(float)
+            plain = np.zeros(documents)
+            np.add.at(plain, doc, impact * np.bincount(asked, weights, terms)[term])
+            order = np.lexsort((np.arange(documents), -np.round(plain, topk.PLACES)))[:k]
+            for floor in (-np.inf, 0.8 * plain[order[-1]], np.round(plain[order[-1]], topk.PLACES)):
+                score, ids = shard.search(-1, asked, weights, k, floor)
+                best = np.lexsort((ids, -score))[:k]
+                assert ids[best].tolist() == order.tolist() and np.allclose(score[best], plain[order])
+        shares.append(shard.scored / shard.held)
+    assert max(shares) < 0.9
+    one = topk.Shard(np.arange(documents), doc, term, impact, terms)
+    one.search(-1, np.arange(0, terms, 3), np.ones(100), 1, 0.9 * topk.Shard(np.arange(documents), doc, term, impact, terms).search(-1, np.arange(0, terms, 3), np.ones(100), 1, -np.inf)[0].max())
+    assert one.scored < 0.8 * one.held
+
+
+# Rows without an id, and columns with names of the operators' own.
+
+
+def test_rows_without_an_id(spark):
+    common.prepare(spark)
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(None, text), (1, text), (None, f"{text}\nother line of words here"), (None, None), (2, "short one here")]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(2, 1), (None, 1)], "doc_id long, toxic int")
+    ids = lambda found: Counter(r["doc_id"] for r in found.collect())
+    want = Counter(i for i, _ in rows)
+    assert ids(bpe.encode_documents(df, *Q.tokenizer())) == want
+    scored = toxicity.score_documents(df, labels)
+    assert ids(scored) == want and {r["held_out"] for r in scored.collect() if r["doc_id"] is None} == {False}
+    mixed = mixing.mix_documents(df)
+    assert ids(mixed) == want and {r["sampled"] for r in mixed.collect()} <= {True, False}
+    found = secrets.report(secrets.scan_in_steps(df, 2)[0])
+    assert ids(found) == want and {r["n_hex"] for r in found.collect()} == {0}
+    cut = substring.remove_repeats(df)
+    assert ids(cut) == want and Counter(r["n_removed"] for r in cut.collect()) == Counter([0, 30, 30, 0, 0])
+    near = simhash.near_duplicates(df)
+    assert ids(near) == want and {r["component_id"] for r in near.collect() if r["fingerprint"] == "0" * 16} == {None}
+    named = langid.identify(df)
+    assert ids(named) == want and {r["held_out"] for r in named.collect() if r["doc_id"] is None} == {False}
+    lines = linededup.dedup_lines(df)
+    assert ids(lines) == want and Counter((r["doc_id"], r["n_removed"]) for r in lines.collect()) == Counter([(None, 1), (1, 0), (None, 1), (None, 0), (2, 0)])
+    best = topk.top_documents(df, F.lit(True)).collect()
+    assert all(r["doc_id"] is not None and r["query_id"] is not None for r in best)
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.9, 0.1]), (None, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"]) for r in ann.nearest(vectors, F.col("vec_id") == 1).collect()] == [(1, 2)]
+
+
+def test_stages_with_clashing_columns(spark, docs):
+    import corpus_pipeline as P
+
+    more = docs
+    for name in ("_first", "_drawn", "_gone", "_of", "_row_key", "key", "row", "v", "gone", "h", "of", "kept", "component_id", "sampled"):
+        more = more.withColumn(name, F.lit("x"))
+    for _, stage in P.STAGES[:-1]:
+        after = stage(spark, more, DATA)
+        assert after.columns == more.columns and after.count() == stage(spark, docs, DATA).count()
+
+
+def test_written_tables_go(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    left = P.run(spark, DATA)
+    assert left.count() and len([p for p in tmp_path.glob("*/*") if p.is_dir()]) == 1
+
+
+def test_a_cluster_must_name_its_folder(monkeypatch):
+    class Context:
+        applicationId = "test"
+        getConf = staticmethod(dict)
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    for master, fails in (("spark://host:7077", True), ("local[2]", False)):
+        Context.master = master
+        if fails:
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                common.shared_dir(Session)
+        else:
+            assert common.shared_dir(Session).startswith("file://")
+
+
 # The pipeline.
 
 

@@ -24,23 +24,23 @@ def mixed(df, **more):
 
 def test_kept_share_does_not_fall_with_the_input(spark):
     for n in (2_000, 200_000):
-        rows = mixed(grown(spark, n), keep=0.5).collect()
+        rows = mixed(grown(spark, n), budget=0.5).collect()
         whole = sum(r["n_tokens"] for r in rows)
-        assert sum(r["n_tokens"] * r["probability"] for r in rows) == pytest.approx(0.5 * whole, rel=0.01)
+        assert sum(r["n_tokens"] * r["rate"] for r in rows) == pytest.approx(0.5 * whole, rel=0.01)
         assert sum(r["n_tokens"] for r in rows if r["sampled"]) == pytest.approx(0.5 * whole, rel=0.2)
-        assert all(0 <= r["probability"] <= 1 for r in rows) and [r["probability"] for r in rows if r["l"] == "rare"] == [pytest.approx(1, abs=0.05)]
+        assert all(0 <= r["rate"] <= 1 for r in rows) and [r["rate"] for r in rows if r["l"] == "rare"] == [pytest.approx(1, abs=0.05)]
 
 
 def test_sized_mixture_reaches_targets_that_can_be_met(spark):
-    rows = mixed(grown(spark, 20_000), targets={"s": {"a": 0.8, "b": 0.2}, "l": {"x": 0.6, "y": 0.3, "rare": 0.1}}, keep=0.4).collect()
-    expected = lambda d, v: sum(r["n_tokens"] * r["probability"] for r in rows if r[d] == v)
+    rows = mixed(grown(spark, 20_000), targets={"s": {"a": 0.8, "b": 0.2}, "l": {"x": 0.6, "y": 0.3, "rare": 0.1}}, budget=0.4).collect()
+    expected = lambda d, v: sum(r["n_tokens"] * r["rate"] for r in rows if r[d] == v)
     assert expected("s", "a") / expected("s", "b") == pytest.approx(4, rel=0.02)
     assert expected("l", "x") / expected("l", "y") == pytest.approx(2, rel=0.02)
     # Values without a target are left out; what the others hold bounds the size.
-    only = mixed(grown(spark, 20_000), targets={"s": {"b": 1.0}}, temper=1.0, keep=0.5).collect()
-    assert {r["probability"] > 0 for r in only if r["s"] == "a"} == {False}
-    assert mixed(grown(spark, 20_000).where("false"), keep=0.5).count() == 0
-    assert {r["probability"] for r in mixed(grown(spark, 2_000).withColumn("n", F.lit(0)), keep=0.5).collect()} == {1.0}
+    only = mixed(grown(spark, 20_000), targets={"s": {"b": 1.0}}, temper=1.0, budget=0.5).collect()
+    assert {r["rate"] > 0 for r in only if r["s"] == "a"} == {False}
+    assert mixed(grown(spark, 20_000).where("false"), budget=0.5).count() == 0
+    assert {r["rate"] for r in mixed(grown(spark, 2_000).withColumn("n", F.lit(0)), budget=0.5).collect()} == {1.0}
 
 
 def test_mixture_stage_keeps_its_share(spark):
@@ -48,7 +48,7 @@ def test_mixture_stage_keeps_its_share(spark):
 
     common.prepare(spark)
     docs = common.read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang", "source")
-    words = lambda df: df.agg(F.sum(mixing.n_words(F.col("text")))).first()[0]
+    words = lambda df: df.agg(F.sum(F.size(mixing.words(F.col("text"))))).first()[0]
     assert words(P.mixture(spark, docs, "")) > 0.4 * words(docs)
 
 
