@@ -46,11 +46,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WHITE, -1), "")
 
 
-def topic_words(rows: DataFrame) -> DataFrame:
+def topic_words(rows: DataFrame, tables: Tables) -> DataFrame:
     """(lang, topics): the words, TOPICS at most, that stand for the topics of a language, counted over all ``rows`` (lang, text)."""
     long = F.filter(words(F.col("text")), lambda w: F.length(w) >= TOPIC_LETTERS)
     counted = rows.select("lang", F.explode(F.array_distinct(long)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("documents"))
+    sizes = tables.put(rows.groupBy("lang").agg(F.count("*").alias("documents")))
+    if sizes.count() <= FEW_CELLS:  # a row for each language
+        sizes = F.broadcast(sizes)
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     ranked = counted.join(sizes, "lang").where(F.col("n") * COMMON <= F.col("documents")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOPICS)
     return ranked.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("topics"))
@@ -187,7 +189,8 @@ def mix(df: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Targ
 def mix_documents(df: DataFrame, targets: Targets | None = None, temper: float = 0.5, id_col: str = "doc_id", budget: float = 0.5, repeats: int = 1) -> DataFrame:
     """``mix`` over source, lang and topic, with words as tokens."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), "source", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    topics = Tables(df.sparkSession, "topics").put(topic_words(rows))
+    tables = Tables(df.sparkSession, "topics")
+    topics = tables.put(topic_words(rows, tables))
     if topics.count() <= FEW_CELLS:  # a row for each language
         topics = F.broadcast(topics)
     known = rows.join(topics, "lang", "left").withColumn("found", words(F.col("text")))
