@@ -70,3 +70,15 @@ def test_registration():
     assert d.decode("&a;") == "mine"
     with pytest.raises(XmlError, match=r"Prohibited numeric character reference &#0; \(U\+0000\)"):
         EntityDecoder(null_ncr="throw").decode("&#0;")
+
+
+def test_usual_references_by_the_short_way():
+    import random
+
+    from xmlframe.core.entities import decode_default
+
+    pieces = ["&amp;", "&lt;", "&#65;", "&#x41;", "&#0;", "&#xD800;", "&#65", "&#", ";", "&", "lt;", "x", "&#x;", "&#65abc;", "& #65;", "&copy;", "&#9999999;", "&#x110000;", "&#1;", "&#00000065;", "&x&lt;"]
+    draw, plain = random.Random(2), EntityDecoder()
+    for _ in range(20_000):
+        text = "".join(draw.choices(pieces, k=draw.randint(0, 7)))
+        assert decode_default(text) == plain.decode(text)

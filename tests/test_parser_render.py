@@ -115,3 +115,24 @@ def test_is_xml_value():
     for _ in range(600):
         deep = [deep]
     assert is_xml_value({"a": ["b", {}]}) and not is_xml_value({"a": 1}) and not is_xml_value(deep)
+
+
+PIECES = ["<a>", "</a>", '<b x="1">', "</b>", "<c/>", "<c y='2' z = \"3\"/>", " text ", "&amp;", "&#65;", "&x;", "<!-- c -->", "<![CDATA[q]]>", "<?pi?>", "<1a/>", "<a b>", "<", ">", "\n", "<a:b>", "</a:b>", '<a x="1" x="2"/>', '<a x="<">', "</a >", "<constructor/>", "<@a/>", "<#text/>", '<a @b="1"/>']
+
+
+def test_short_way_reads_what_the_parser_reads():
+    import random
+
+    from xmlframe.core.parser import _Parser
+
+    def read(f):
+        try:
+            return f()
+        except XmlParseError as e:
+            return e.message, e.position
+
+    draw = random.Random(1)
+    for _ in range(20_000):
+        text = draw.choice(["", '<?xml version="1.0"?>\n', "<!DOCTYPE r>", "  "]) + "<r>" + "".join(draw.choices(PIECES, k=draw.randint(0, 6))) + "</r>" + draw.choice(["", "\n", "x"])
+        preserve, depth, name = draw.random() < 0.3, draw.choice([0, 1, 2, 256]), draw.choice(["repair", "error", "ignore"])
+        assert read(lambda: parse_document(text, preserve, depth, name)) == read(lambda: _Parser(text, preserve, depth, name, "1.0").document()), text

@@ -175,8 +175,25 @@ class EntityDecoder:
 
 
 _DEFAULT = EntityDecoder()
+#: What the default decoder may know: a built-in entity, or a numeric reference.
+_USUAL = re.compile(r"&(amp|apos|gt|lt|quot|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});")
 
 
 def decode_default(text: str) -> str:
     """The parser's decoding: built-in entities and numeric references, anything else left as it is."""
-    return _DEFAULT.decode(text) if "&" in text else text
+    if "&" not in text:
+        return text
+    if text.count("&#") == len(_PLAIN_NUMBER.findall(text)):
+        return _USUAL.sub(_usual, text)
+    return _DEFAULT.decode(text)
+
+
+#: A numeric reference in its usual form; others are left to the decoder, which reads more forms.
+_PLAIN_NUMBER = re.compile(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});")
+
+
+def _usual(m: re.Match) -> str:
+    known = PREDEFINED.get(m[1])
+    if known is None:
+        known = _DEFAULT._numeric(m[1])
+    return m[0] if known is None else known

@@ -197,9 +197,104 @@ class _Parser:
         return record
 
 
+#: One token of a document without comments and the like: text up to a tag, and a closing or a start tag with its attributes.
+_NAMED = r"""[^ \t\n\r/=><!?&"']+"""
+_SP = r"[ \t\n\r]"
+_TOKEN = re.compile(rf"""([^<]*)<(?:/({_NAMED}){_SP}*>|({_NAMED})((?:{_SP}+{_NAMED}{_SP}*={_SP}*(?:"[^"]*"|'[^']*'))*){_SP}*(/?)>)""")
+_PAIR = re.compile(rf"""({_NAMED}){_SP}*={_SP}*(?:"([^"]*)"|'([^']*)')""")
+_DECLARED = re.compile(r"[ \t\n\r]*(?:<\?(?:(?!\?>).)*\?>[ \t\n\r]*)?", re.S)
+
+
+def _plain_document(text: str, names: dict[str, str], preserve: bool, max_depth: int) -> tuple[str, object] | None:
+    """(root name, value) of a document of start tags, closing tags and text alone, whose names are all known.
+
+    Anything else, errors too, gives None: the parser above then reads the document again and tells what is wrong.
+    """
+    match, at = _TOKEN.match, _DECLARED.match(text).end()
+    stack: list = []
+    name, record, runs = "", None, ""
+    size = len(text)
+    while True:
+        m = match(text, at)
+        if m is None:
+            return None
+        before, closing, opening, attributes, alone = m.groups()
+        at = m.end()
+        if before:
+            runs += decode_default(before) if "&" in before else before
+        if closing is None:
+            key = names.get(opening)
+            if key is None:
+                return None
+            if record is None:
+                if before.strip(" \t\n\r"):
+                    return None
+                runs = ""
+            stack.append((name, record, runs))
+            if len(stack) > max_depth + 1:
+                return None
+            name, record, runs = key, {}, ""
+            if attributes:
+                for label, double, single in _PAIR.findall(attributes):
+                    key = names.get(label)
+                    if key is None:
+                        return None
+                    value = double or single
+                    record["@" + key] = decode_default(value) if "&" in value else value
+            if not alone:
+                continue
+        elif closing != name:
+            return None
+        # The element ends here.
+        if not preserve:
+            runs = runs.strip(_SPACE)
+        if not record:
+            value = runs
+        else:
+            if runs:
+                record[TEXT_KEY] = runs
+            value = record
+        own = name
+        name, record, runs = stack.pop()
+        if record is None:
+            return (own, value) if _WHITE.match(text, at).end() == size else None
+        if own not in record:
+            record[own] = value
+        elif type(record[own]) is list:
+            record[own].append(value)
+        else:
+            record[own] = [record[own], value]
+
+
+class _Names(dict):
+    """Names as they are resolved, None where they are illegal; forgets all when there are many."""
+
+    def __init__(self, mode: str, version: str):
+        super().__init__()
+        self.mode, self.version = mode, version
+
+    def __missing__(self, raw: str) -> str | None:
+        try:
+            known = resolve_name(raw, self.mode, self.version)
+        except XmlError:
+            return None
+        if len(self) > 10_000:
+            self.clear()
+        self[raw] = known
+        return known
+
+    def get(self, raw: str) -> str | None:
+        return self[raw]
+
+
+_KNOWN: dict[tuple[str, str], _Names] = {}
+
+
 def parse_document(text: str, preserve_whitespace: bool = False, max_depth: int = 256, name: str = "repair", xml_version: str = "1.0") -> tuple[str, object]:
     """(root name, value)."""
-    return _Parser(text, preserve_whitespace, max_depth, name, xml_version).document()
+    names = _KNOWN.get((name, xml_version)) or _KNOWN.setdefault((name, xml_version), _Names(name, xml_version))
+    found = _plain_document(text, names, preserve_whitespace, max_depth)
+    return found if found is not None else _Parser(text, preserve_whitespace, max_depth, name, xml_version).document()
 
 
 def parse_xml(text: str, **options) -> object:
