@@ -66,7 +66,8 @@ FAILURES = [
     ("a string, b string", "<r><a>x</a></r>", "SchemaError", 'Missing key at "b"'),
     ("a array<string>", "<r><a>only</a></r>", "SchemaError", 'Expected an array, but received "only" at "a"'),
     ("a string", "<r/>", "SchemaError", 'Expected a record, but received ""'),
-    ("title string", "<r><title><b/></title></r>", "SchemaError", 'the field "title" wants a plain value, but the element also carries the child element "b"; only attributes are discarded alongside #text'),
+    ("title string", "<r><title>x<b/></title></r>", "SchemaError", 'the field "title" wants a plain value, but the element also carries the child element "b"; only attributes are discarded alongside #text'),
+    ("title string", '<r><title><b/></title></r>', "SchemaError", 'Expected string, but received {"b": ""} at "title"'),
 ]
 
 
@@ -149,6 +150,37 @@ def test_plan_parses_once_and_pushes_filters(spark, tmp_path):
     assert "Python" not in encode.split("== Physical Plan ==")[1]
 
 
+def test_filters_pass_the_decoder(spark, tmp_path):
+    spark.createDataFrame([(1, "<r><a>1</a></r>"), (2, "<r>")], "id int, x string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for mode in ("PERMISSIVE", "DROPMALFORMED", "FAILFAST"):
+        out = XmlCodec("a int", "r").decode_frame(df, "x", mode=mode).where("id = 1 and value.a = 1").select("id", "value")
+        shown = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert shown.count("ArrowEvalPython") == 1 and "PushedFilters: [IsNotNull(id), EqualTo(id,1)]" in shown
+        assert [r["value"]["a"] for r in out.collect()] == [1]
+    both = XmlCodec("a int", "r").decode_frame(df, "x").select("value", "value_error")._jdf.queryExecution().toString()
+    assert both.split("== Physical Plan ==")[1].count("ArrowEvalPython") == 1
+    parsed = X.parse_frame(df, "x").where("id = 2").select("parsed.error.message")
+    assert "EqualTo(id,2)" in parsed._jdf.queryExecution().toString() and parsed.first()[0] == "Unclosed element <r>"
+
+
+def test_failures_are_logged(spark, caplog):
+    read = XmlCodec("a int", "r")._function(None, True).func
+    read(__import__("pyarrow").array(["<r>", "<r><a>1</a></r>"]))
+    assert [m for m in caplog.messages if m.startswith("XML")] == ["XML parse error: Unclosed element <r>"]
+
+
+def test_columns_that_are_no_text(spark):
+    with pytest.raises(Exception, match="Expected a string, but received int64."):
+        spark.range(1).select(XmlCodec("a int", "r").decode("id")).collect()
+
+
+def test_entities_without_numbers_stay_in_the_jvm(spark):
+    texts = ["a&amp;lt;b", "&lt;&gt;&quot;&apos;&x;&", "&#65;&amp;", None, "none"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.decode_entities("t").alias("d"))
+    assert [r["d"] for r in rows.collect()] == ["a&lt;b", "<>\"'&x;&", "A&", None, "none"]
+
+
 texts = st.text(st.characters(exclude_categories=("Cs",), exclude_characters="\x00"), max_size=20)
 
 

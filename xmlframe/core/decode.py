@@ -6,6 +6,7 @@ import base64
 import datetime
 import json
 import re
+from collections.abc import Callable
 from decimal import Decimal
 from typing import Any
 
@@ -33,6 +34,8 @@ def resolve_names(value: Any, node, scope: dict) -> Any:
         return [resolve_names(v, inner, scope) for v in value]
     while node is not None and node.kind == "array":
         node = node.member
+    if node is not None and node.kind == "union":
+        node = node.merged
     if not isinstance(value, dict):
         field = node.value_field if node is not None and node.kind == "struct" else None
         return {field.key: value} if field is not None and field.key != TEXT_KEY and isinstance(value, str) else value
@@ -69,6 +72,8 @@ def typed(value: Any, node, path: str = "") -> Any:
         return scalar(plain(value, path), node, path)
     if node.kind == "array":
         return array(value, node, path)
+    if node.kind == "union":
+        return union(value, node, path)
     if node.kind == "map":
         if not isinstance(value, dict):
             raise DecodeError(f"Expected a record, but received {described(value)}{at(path)}")
@@ -86,13 +91,24 @@ def typed(value: Any, node, path: str = "") -> Any:
     return out
 
 
+def union(value: Any, node, path: str) -> dict:
+    """The first member that reads the value, under its name; where none does, the first one's error."""
+    first = None
+    for f in node.fields:
+        try:
+            return {**dict.fromkeys(g.key for g in node.fields), f.key: typed(value, f.node, path)}
+        except DecodeError as e:
+            first = first or e
+    raise first or DecodeError(f"Expected a member of the union, but received {described(value)}{at(path)}")
+
+
 def array(value: Any, node, path: str) -> list:
     inner = node.member
-    structural = inner.kind in ("struct", "map")
+    structural = inner.structural
     if not isinstance(value, list):
         if node.single:
             value = [value]
-        elif value == "":
+        elif value in ("", {}):  # an element without content, or with nothing but namespace declarations
             value = [""] if structural else []
         else:
             raise DecodeError(f"Expected an array, but received {described(value)}{at(path)}")
@@ -100,13 +116,13 @@ def array(value: Any, node, path: str) -> list:
 
 
 def plain(value: Any, path: str) -> Any:
-    """Character data of an element whose attributes nobody asked for."""
-    if not isinstance(value, dict):
+    """Character data of an element whose attributes nobody asked for; a record without any stays as it is."""
+    if not isinstance(value, dict) or TEXT_KEY not in value:
         return value
     child = next((k for k in value if k != TEXT_KEY and not is_attribute_key(k)), None)
     if child is not None:
         raise DecodeError(f'the field "{path or "root"}" wants a plain value, but the element also carries the child element "{child}"; only attributes are discarded alongside #text')
-    return value.get(TEXT_KEY, value)
+    return value[TEXT_KEY]
 
 
 def scalar(value: Any, node, path: str) -> Any:
@@ -153,6 +169,96 @@ def parsed(text: str, kind: str) -> Any:
     raise ValueError(kind)
 
 
+class _Unread(Exception):
+    """The short way does not read this value; ``typed`` does, or tells why not."""
+
+
+def reader(node) -> Callable[[Any], Any]:
+    """A function that reads what ``typed`` reads, made for one node: without paths, which only errors need."""
+    if node.kind == "struct":
+        return _struct_reader([(f.key, reader(f.node), f.optional) for f in node.fields])
+    if node.kind == "array":
+        return _array_reader(reader(node.member), node.member.structural, node.single)
+    if node.kind == "scalar" and node.enum is None:
+        return _scalar_reader(node.type)
+
+    def slow(value: Any) -> Any:
+        try:
+            return typed(value, node)
+        except DecodeError:
+            raise _Unread from None
+
+    return slow
+
+
+def _struct_reader(fields: list[tuple[str, Callable, bool]]) -> Callable[[Any], dict]:
+    def read(value: Any) -> dict:
+        if type(value) is not dict:
+            raise _Unread
+        out = {}
+        for key, inner, optional in fields:
+            found = value.get(key, out)
+            if found is not out:
+                out[key] = inner(found)
+            elif optional:
+                out[key] = None
+            else:
+                raise _Unread
+        return out
+
+    return read
+
+
+def _array_reader(inner: Callable, structural: bool, single: bool) -> Callable[[Any], list]:
+    def read(value: Any) -> list:
+        if type(value) is list:
+            return [inner({} if structural and m == "" else m) for m in value]
+        if not single:
+            raise _Unread
+        return [inner({} if structural and value == "" else value)]
+
+    return read
+
+
+def _scalar_reader(kind: str) -> Callable[[Any], Any]:
+    number, whole = _NUMBER.fullmatch, _WHOLE.fullmatch
+    bits = _BITS.get(kind, 0)
+    least, most = -(1 << bits >> 1), (1 << bits >> 1) - 1
+
+    def read(value: Any) -> Any:
+        if type(value) is not str:
+            value = value.get(TEXT_KEY) if type(value) is dict and all(map(is_attribute_key, value.keys() - {TEXT_KEY})) else None
+            if value is None:
+                raise _Unread
+        if kind == "string":
+            return value
+        if kind == "double":
+            if number(value) and value[-1] != "y":
+                return float(value)
+        elif bits:
+            if whole(value) and least <= (n := int(value)) <= most:
+                return n
+        elif kind == "boolean":
+            if value in ("true", "false"):
+                return value == "true"
+        else:
+            try:
+                return parsed(value, kind)
+            except (ValueError, ArithmeticError):
+                pass
+        raise _Unread
+
+    return read
+
+
+def read_typed(value: Any, node, quick: Callable[[Any], Any]) -> Any:
+    """``typed``, by the function that ``reader`` made where that will do."""
+    try:
+        return quick(value)
+    except _Unread:
+        return typed(value, node)
+
+
 def described(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False)[:200]
 

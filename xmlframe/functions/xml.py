@@ -10,13 +10,14 @@ import json
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..core import entities as E
 from ..core import parser as P
 from ..core import render as R
 from ..core.names import XmlError
+from .text import utf16_length
 
 PARSED = "name string, value string, error struct<message:string,position:int,input:string>"
 DECODED = "value string, error struct<tag:string,message:string>"
@@ -31,9 +32,24 @@ def to_json(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
+def observed(df: DataFrame, observe: Observation, text: Column, error: Column) -> DataFrame:
+    """``df`` with metrics of its documents: their number, the failures, and their length in UTF-16 units, failed or not."""
+    return df.observe(observe, F.count(F.lit(1)).alias("documents"), F.count(error).alias("failures"), F.sum(utf16_length(text)).alias("length"))
+
+
+def parse_frame(df: DataFrame, text: str, to: str = "parsed", observe: Observation | None = None, **options) -> DataFrame:
+    """``df`` with ``parse_xml`` of a column, and the metrics of ``observed``; filters on other columns go before the parser."""
+    out = df.select("*", F.explode(F.array(_parser(**options)(F.col(f"`{text}`")))).alias(to))
+    return out if observe is None else observed(out, observe, F.col(f"`{text}`"), F.col(f"`{to}`.error"))
+
+
 def parse_xml(col: Column | str, preserve_whitespace: bool = False, max_depth: int = 256, name: str = "repair", xml_version: str = "1.0") -> Column:
     """struct(name, value, error): the root's name, and its tree as JSON text in document order.  Null stays null."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.when(col.isNotNull(), _parser(preserve_whitespace, max_depth, name, xml_version).asNondeterministic()(col))
 
+
+def _parser(preserve_whitespace: bool = False, max_depth: int = 256, name: str = "repair", xml_version: str = "1.0"):
     def one(text: str) -> tuple:
         try:
             root, value = P.parse_document(text, preserve_whitespace, max_depth, name, xml_version)
@@ -44,8 +60,7 @@ def parse_xml(col: Column | str, preserve_whitespace: bool = False, max_depth: i
     def parse(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(None, None, None) if t is None else one(t) for t in texts], columns=["name", "value", "error"], dtype=object)
 
-    col = F.col(col) if isinstance(col, str) else col
-    return F.when(col.isNotNull(), _once(parse, PARSED, col))
+    return F.pandas_udf(parse, PARSED)
 
 
 def render_xml(col: Column | str, **options) -> Column:
@@ -91,13 +106,21 @@ def decode_entities_result(col: Column | str, policy: Mapping | None = None, ext
 
 
 def decode_entities(col: Column | str) -> Column:
-    """Built-in entities and numeric references to text, the rest as it is."""
+    """Built-in entities and numeric references to text, the rest as it is.
+
+    Only texts with a numeric reference go to Python.  In others the five entities are replaced one after another, the
+    ampersand last, so that what it makes is not read again.
+    """
 
     def decode(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else E.decode_default(t))
 
     col = F.col(col) if isinstance(col, str) else col
-    return F.when(col.contains("&"), _once(decode, "string", col)).otherwise(col)
+    named = col
+    for entity, character in sorted(E.PREDEFINED.items(), key=lambda e: e[0] == "amp"):
+        named = F.replace(named, F.lit(f"&{entity};"), F.lit(character))
+    numeric = col.contains("&#")
+    return F.when(numeric, _once(decode, "string", F.when(numeric, col))).when(col.contains("&"), named).otherwise(col)
 
 
 def is_xml_value(col: Column | str) -> Column:

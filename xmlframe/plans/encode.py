@@ -59,7 +59,7 @@ class Encoder:
         """Text of a document; null for null."""
         plan = self.plan
         if plan.root.kind == "array":
-            if plan.active and (plan.uri is not None or plan.name != "root" and plan.prefix):
+            if plan.active and plan.root_declared:
                 raise ValueError("An array at the root of a namespaced schema cannot carry the root namespace or name.")
             tag = self.tag(plan.name)
             members = F.array_join(F.transform(self.flat(value, plan.root), lambda m: self.element(m, self.innermost(plan.root), self.o.item_name, None, "", {}, 1, True)), "")
@@ -109,6 +109,12 @@ class Encoder:
             none = one(F.lit(None).cast(_type(inner)))
             members = self.flat(value, node)
             return F.when(value.isNull(), "").when(F.size(value) == 0, none).otherwise(F.array_join(F.transform(members, one), ""))
+        if node.kind == "union":  # the member that is there; an absent one writes nothing
+            out = F.lit("") if not always else self.element(F.lit(None).cast("string"), Node("scalar"), name, uri, prefix, scope, depth, True)
+            for f in reversed(node.fields):
+                one = value.getField(f.key)
+                out = F.when(one.isNotNull(), self.element(one, f.node, name, uri, prefix, scope, depth, True)).otherwise(out)
+            return out
         scope = dict(scope)
         declared = self.declare(uri, prefix, scope)
         tag, before = self.tag(name), self.line(depth) if depth else ""
@@ -194,7 +200,7 @@ class Encoder:
 
 
 def _type(node: Node) -> T.DataType:
-    if node.kind == "struct":
+    if node.kind in ("struct", "union"):
         return T.StructType([T.StructField(f.key, _type(f.node)) for f in node.fields])
     if node.kind == "array":
         return T.ArrayType(_type(node.member))

@@ -19,6 +19,8 @@ NAMESPACE_KEY, PREFIX_KEY, NAME_KEY, ATTRIBUTE_KEY, VALUE_KEY = "xmlNamespace",
 #: Of our own: a field that may be absent, the values that it may have, a field that holds a tree as JSON text, and an
 #: array that also reads a single element.
 OPTIONAL_KEY, ENUM_KEY, JSON_KEY, SINGLE_KEY = "optional", "enum", "xmlJson", "xmlSingle"
+#: A struct whose fields are the members of a union: an element is read by the first that can, and one is not null.
+UNION_KEY = "xmlUnion"
 
 
 _TOKEN = re.compile(r"\s*(`(?:[^`]|``)*`|[A-Za-z_@#][\w@#]*|\d+|[<>(),:])")
@@ -95,16 +97,19 @@ def types(text: str) -> T.DataType:
     return out
 
 
-def field(name: str, kind: T.DataType | str, *, namespace: str | None = None, prefix: str | None = None, xml_name: str | None = None, attribute: bool = False, value: bool = False, optional: bool = False, enum: list | None = None, tree: bool = False, single: bool = False) -> T.StructField:
-    """A field with annotations.  ``tree``: a string field that holds any tree as JSON text, for recursive or mixed shapes."""
-    given = {NAMESPACE_KEY: namespace, PREFIX_KEY: prefix, NAME_KEY: xml_name, ATTRIBUTE_KEY: attribute or None, VALUE_KEY: value or None, OPTIONAL_KEY: optional or None, ENUM_KEY: enum, JSON_KEY: tree or None, SINGLE_KEY: single or None}
+def field(name: str, kind: T.DataType | str, *, namespace: str | None = None, prefix: str | None = None, xml_name: str | None = None, attribute: bool = False, value: bool = False, optional: bool = False, enum: list | None = None, tree: bool = False, single: bool = False, union: bool = False) -> T.StructField:
+    """A field with annotations.  ``tree``: a string field that holds any tree as JSON text, for recursive or mixed shapes.
+
+    ``union``: a struct field, or an array of structs, whose element is one of the struct's fields, the others being null.
+    """
+    given = {NAMESPACE_KEY: namespace, PREFIX_KEY: prefix, NAME_KEY: xml_name, ATTRIBUTE_KEY: attribute or None, VALUE_KEY: value or None, OPTIONAL_KEY: optional or None, ENUM_KEY: enum, JSON_KEY: tree or None, SINGLE_KEY: single or None, UNION_KEY: union or None}
     kind = types(kind) if isinstance(kind, str) else kind
     return T.StructField(name, kind, True, {k: v for k, v in given.items() if v is not None})
 
 
 @dataclass
 class Node:
-    """A value: ``scalar`` (of a Spark type), ``tree``, ``struct``, ``array`` or ``map``."""
+    """A value: ``scalar`` (of a Spark type), ``tree``, ``struct``, ``union``, ``array`` or ``map``."""
 
     kind: str
     type: str = "string"
@@ -114,6 +119,18 @@ class Node:
     #: Array that reads a single element too.
     single: bool = False
 
+    @property
+    def structural(self) -> bool:
+        """Whether an empty element is a record without fields."""
+        return self.kind in ("struct", "map") or self.kind == "union" and any(f.node.structural for f in self.fields)
+
+    @property
+    def merged(self) -> Node | None:
+        """A struct with the fields of all members of a union that are structs."""
+        inner = [f.node.merged if f.node.kind == "union" else f.node for f in self.fields]
+        found = [g for n in inner if n is not None and n.kind == "struct" for g in n.fields]
+        return Node("struct", fields=found) if found else None
+
     @property
     def value_field(self) -> Field | None:
         return next((f for f in self.fields if f.place == "text"), None)
@@ -144,6 +161,8 @@ class Plan:
     prefix: str = ""
     #: Whether any annotation gives names or namespaces.
     active: bool = False
+    #: Whether the root's own annotations name it or its namespace.
+    root_declared: bool = False
 
 
 class _Scan:
@@ -152,10 +171,12 @@ class _Scan:
         self.active = False
 
     def node(self, kind: T.DataType, meta: dict, uri: str | None, prefix: str, name: str) -> Node:
+        if isinstance(kind, T.StructType) and meta.get(UNION_KEY):
+            return Node("union", fields=[Field(f.name, "element", name, self.node(f.dataType, f.metadata or {}, uri, prefix, name)) for f in kind.fields])
         if isinstance(kind, T.StructType):
             return Node("struct", fields=self.fields(kind, uri, prefix, name))
         if isinstance(kind, T.ArrayType):
-            inner = self.node(kind.elementType, {k: v for k, v in meta.items() if k in (ENUM_KEY, JSON_KEY)}, uri, prefix, name)
+            inner = self.node(kind.elementType, {k: v for k, v in meta.items() if k in (ENUM_KEY, JSON_KEY, UNION_KEY)}, uri, prefix, name)
             return Node("array", member=inner, single=NAME_KEY in meta or bool(meta.get(SINGLE_KEY)))
         if isinstance(kind, T.MapType):
             return Node("map", member=self.node(kind.valueType, {}, None, "", name))
@@ -216,13 +237,12 @@ def plan(schema: T.DataType, root_name: str | None = None, annotations: dict[str
     name = root_name or meta.get(NAME_KEY) or meta.get("identifier") or meta.get("title") or "root"
     if ":" in (meta.get(NAME_KEY) or ""):
         scan.problems.append(f'xmlName "{meta[NAME_KEY]}" on "root" must be a local name; use xmlPrefix for the prefix')
-    root = scan.node(schema, {k: v for k, v in meta.items() if k in (ENUM_KEY, JSON_KEY)}, uri, prefix, name)
+    root = scan.node(schema, {k: v for k, v in meta.items() if k in (ENUM_KEY, JSON_KEY, UNION_KEY)}, uri, prefix, name)
     if scan.problems:
         raise ValueError("Invalid XML namespace annotation:" + "".join(f"\n\t- {p}" for p in scan.problems) + ".")
     active = scan.active or any(k in meta for k in (NAMESPACE_KEY, PREFIX_KEY, NAME_KEY))
-    if prefix and ":" not in name:
-        return Plan(root, f"{prefix}:{name}", uri, prefix, active)
-    return Plan(root, name, uri, prefix, active)
+    declared = any(k in meta for k in (NAMESPACE_KEY, NAME_KEY))
+    return Plan(root, f"{prefix}:{name}" if prefix and ":" not in name else name, uri, prefix, active, declared)
 
 
 def pruned(schema: T.StructType, names: list[str]) -> T.StructType:
