@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from conftest import DATA, same_rows
-from xmlframe import queries as Q
+from xmlframe import cases, queries as Q  # noqa: F401  (cases adds its queries)
 from xmlframe.sources import read_documents, read_stream, write_documents
 from xmlframe.streaming import decoded_stream, windowed_counts
 
@@ -25,6 +25,14 @@ def test_pages_parse_or_tell_why(spark):
     assert rows and all((r["value"] is None) != (r["message"] is None) for r in rows)
 
 
+def test_line_breaks_come_back(spark, tmp_path):
+    texts = ['<a\n b="1"><![CDATA[x\ny]]>\r\n</a>', "<b>1</b>", "\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    write_documents(df, "x", str(tmp_path / "docs"))
+    back = read_documents(spark, str(tmp_path / "docs"), "json")
+    assert sorted(r["document"] for r in back.collect()) == sorted(texts)
+
+
 def test_files_and_streams(spark, tmp_path):
     out = str(tmp_path / "docs")
     codec = Q.XmlCodec("id bigint, kind string, at timestamp", "e")
@@ -32,9 +40,9 @@ def test_files_and_streams(spark, tmp_path):
     from pyspark.sql import functions as F
 
     write_documents(rows.select(codec.encode(F.struct("id", "kind", "at")).alias("x")), "x", out)
-    back = codec.decode_frame(read_documents(spark, out, "line"), "document")
+    back = codec.decode_frame(read_documents(spark, out, "json"), "document")
     assert sorted(r["value"]["kind"] for r in back.collect()) == ["a\n0"] * 3 + ["a\n1"] * 3
-    stream = decoded_stream(read_stream(spark, out, "line"), codec).select("value.*")
+    stream = decoded_stream(read_stream(spark, out, "json"), codec).select("value.*")
     running = windowed_counts(stream, "at", "kind").writeStream.format("memory").queryName("counts").outputMode("complete").start()
     try:
         running.processAllAvailable()
