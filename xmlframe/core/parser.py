@@ -197,10 +197,11 @@ class _Parser:
         return record
 
 
-#: One token of a document without comments and the like: text up to a tag, and a closing or a start tag with its attributes.
+#: One token of a document without comments and the like: text up to a tag, and a whole element of text alone, or a closing
+#: tag, or a start tag with its attributes.
 _NAMED = r"""[^ \t\n\r/=><!?&"']+"""
 _SP = r"[ \t\n\r]"
-_TOKEN = re.compile(rf"""([^<]*)<(?:/({_NAMED}){_SP}*>|({_NAMED})((?:{_SP}+{_NAMED}{_SP}*={_SP}*(?:"[^"]*"|'[^']*'))*){_SP}*(/?)>)""")
+_TOKEN = re.compile(rf"""([^<]*)<(?:({_NAMED})>([^<]*)</\2{_SP}*>|/({_NAMED}){_SP}*>|({_NAMED})((?:{_SP}+{_NAMED}{_SP}*={_SP}*(?:"[^"]*"|'[^']*'))*){_SP}*(/?)>)""")
 _PAIR = re.compile(rf"""({_NAMED}){_SP}*={_SP}*(?:"([^"]*)"|'([^']*)')""")
 _DECLARED = re.compile(r"[ \t\n\r]*(?:<\?(?:(?!\?>).)*\?>[ \t\n\r]*)?", re.S)
 
@@ -210,20 +211,35 @@ def _plain_document(text: str, names: dict[str, str], preserve: bool, max_depth:
 
     Anything else, errors too, gives None: the parser above then reads the document again and tells what is wrong.
     """
-    match, at = _TOKEN.match, _DECLARED.match(text).end()
+    match = _TOKEN.scanner(text, _DECLARED.match(text).end()).match  # each match begins where the last one ended
     stack: list = []
     name, record, runs = "", None, ""
     size = len(text)
     while True:
-        m = match(text, at)
+        m = match()
         if m is None:
             return None
-        before, closing, opening, attributes, alone = m.groups()
-        at = m.end()
+        before, leaf, inner, closing, opening, attributes, alone = m.groups()
         if before:
             runs += decode_default(before) if "&" in before else before
+        if leaf is not None and record is not None and len(stack) <= max_depth:
+            own = names[leaf]
+            if own != leaf:  # a closing tag must say the name as it is read
+                return None
+            value = decode_default(inner) if "&" in inner else inner
+            if not preserve:
+                value = value.strip(_SPACE)
+            if own not in record:
+                record[own] = value
+            elif type(record[own]) is list:
+                record[own].append(value)
+            else:
+                record[own] = [record[own], value]
+            continue
+        if leaf is not None:
+            return (leaf, _trimmed(inner, preserve)) if record is None and names[leaf] == leaf and not before.strip(" \t\n\r") and _WHITE.match(text, m.end()).end() == size else None
         if closing is None:
-            key = names.get(opening)
+            key = names[opening]
             if key is None:
                 return None
             if record is None:
@@ -236,7 +252,7 @@ def _plain_document(text: str, names: dict[str, str], preserve: bool, max_depth:
             name, record, runs = key, {}, ""
             if attributes:
                 for label, double, single in _PAIR.findall(attributes):
-                    key = names.get(label)
+                    key = names[label]
                     if key is None:
                         return None
                     value = double or single
@@ -257,7 +273,7 @@ def _plain_document(text: str, names: dict[str, str], preserve: bool, max_depth:
         own = name
         name, record, runs = stack.pop()
         if record is None:
-            return (own, value) if _WHITE.match(text, at).end() == size else None
+            return (own, value) if _WHITE.match(text, m.end()).end() == size else None
         if own not in record:
             record[own] = value
         elif type(record[own]) is list:
@@ -266,6 +282,11 @@ def _plain_document(text: str, names: dict[str, str], preserve: bool, max_depth:
             record[own] = [record[own], value]
 
 
+def _trimmed(text: str, preserve: bool) -> str:
+    text = decode_default(text)
+    return text if preserve else text.strip(_SPACE)
+
+
 class _Names(dict):
     """Names as they are resolved, None where they are illegal; forgets all when there are many."""
 
@@ -283,9 +304,6 @@ class _Names(dict):
         self[raw] = known
         return known
 
-    def get(self, raw: str) -> str | None:
-        return self[raw]
-
 
 _KNOWN: dict[tuple[str, str], _Names] = {}
 
