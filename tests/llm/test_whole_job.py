@@ -124,3 +124,22 @@ def test_nothing_learned_drops_nothing(spark):
     rows = [(1, "some words", None), (2, "", None), (3, None, None), (4, "12 34", None), (5, "autres mots", None)]
     unlabelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in langid.known(unlabelled).collect()} == {1, 5}
+
+
+def test_outlines_reject_nothing_that_is_similar():
+    draw = random.Random(11)
+    words = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 7))) for _ in range(60)]
+    lines = [" ".join(draw.choices(words, k=draw.randint(1, 20)))[:160] for _ in range(300)] + ["a", "ab", "abababababab", "aaaaaaaaaaaaaaaaaaaa"]
+    for line in list(lines):
+        other = list(line)
+        for _ in range(draw.randint(0, 4)):
+            other[draw.randrange(len(other))] = draw.choice("abcdefgh0123 ")
+        lines.append("".join(other)[:160])
+    made = [linededup.Outline(*x) for x in zip(*linededup.outlines(lines))]
+    rejected = 0
+    for i, a in enumerate(lines):
+        for j in range(i):
+            alike = any(len(x & y) >= linededup.THRESHOLD * len(x | y) for x, y in ((linededup.shingles(a, w), linededup.shingles(lines[j], w)) for w in (linededup.NARROW, linededup.SHINGLE)))
+            assert not (alike and made[i].unlike(made[j])), (a, lines[j])
+            rejected += not alike and made[i].unlike(made[j])
+    assert rejected > 0.9 * len(lines) * (len(lines) - 1) / 2

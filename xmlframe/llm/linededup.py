@@ -29,7 +29,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST, Tables, arrow_schema, as_batch, mapped, own_id, prepare, told_apart
@@ -42,8 +42,8 @@ NARROW, SHORT = 3, 160
 THRESHOLD = 0.8
 #: Chance of missing a pair at the very threshold: (1 - 0.8 ** 4) ** 12, 0.2 %; at 0.85 it is 0.02 %.
 BANDS, PER_BAND = 12, 4
-#: For NARROW shingles, of which unlike lines share a tenth: chance of missing 0.8 % at the threshold, 0.05 % at 0.85.
-NARROW_BANDS, PER_NARROW = 16, 6
+#: For NARROW shingles, of which unlike lines share a tenth: chance of missing 0.7 % at the threshold, 0.03 % at 0.85.
+NARROW_BANDS, PER_NARROW = 21, 7
 #: Lines of a bucket that one task compares at once.
 BUCKET = 4096
 #: Lines of a bucket up to which it is read together with others.
@@ -54,6 +54,8 @@ HELD = 1_000_000
 PROBE = 64
 #: Rows of a line from which it counts as common (or a thousandth of all lines, so that there are few).
 COMMON = 100_000
+#: Rows of buckets that a task holds before it throws away what repeats (16 bytes each).
+PRUNE = 4_000_000
 #: Bits that mark candidate lines.
 MARKS = 1 << 27
 
@@ -162,6 +164,48 @@ def similar(a: set[str], b: set[str], probe: set[str]) -> bool:
     return both >= THRESHOLD * (len(a) + len(b) - both)
 
 
+def outlines(lines: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """For each short line 256 bits, which of them its NARROW shingles fall on, and the numbers of its different shingles of
+    both widths (by 32 bits of hash: one too few now and then)."""
+    counts, bits = [], None
+    for width in (NARROW, SHINGLE):
+        padded = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
+        code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+        length = np.array([len(x) for x in padded], np.int64)
+        within = np.ones(len(code), bool)
+        within[(np.cumsum(length)[:, None] - np.arange(1, width)).ravel()] = False
+        h = shingle_hashes(code, width)
+        h = h[within[: len(h)]]
+        row = np.repeat(np.arange(len(lines)), length - width + 1)
+        counts.append(np.bincount(np.unique(row << 32 | h) >> 32, minlength=len(lines)))
+        if bits is None:
+            bits = np.zeros((len(lines), 256), bool)
+            bits[row, h >> np.uint32(24)] = True
+    return [x.tobytes() for x in np.packbits(bits, axis=1)], *counts
+
+
+class Outline:
+    """What tells that two short lines cannot be similar, without a look at their shingles.
+
+    A bit that only one line has stands for a shingle that only it has, so the number of such bits bounds the common
+    shingles from above.  A missing NARROW shingle is missing in the SHINGLE that begins with it, if it is not one of the
+    line's last.
+    """
+
+    __slots__ = ("bits", "n", "wide")
+
+    def __init__(self, bits: bytes, n: int, wide: int):
+        self.bits, self.n, self.wide = int.from_bytes(bits), n, wide
+
+    def unlike(self, other: Outline) -> bool:
+        here, there = (self.bits & ~other.bits).bit_count(), (other.bits & ~self.bits).bit_count()
+        least = THRESHOLD * (self.n + other.n) / (1 + THRESHOLD) - 2  # common shingles that it takes, and some slack
+        if here <= self.n - least and there <= other.n - least:
+            return False
+        least, last = THRESHOLD * (self.wide + other.wide) / (1 + THRESHOLD) - 2, SHINGLE - NARROW
+        return here - last > self.wide - least or there - last > other.wide - least
+
+
 class Compared:
     """What is known of the lines in buckets of one ``kin``: sets, links, and pairs that are unlike."""
 
@@ -186,8 +230,8 @@ class Compared:
             key = up
         return key
 
-    def links(self, lines: list[tuple[tuple, str]]) -> list[tuple[int, int]]:
-        """Links (as indices) that span, with those of earlier buckets, each group of similar ``lines`` (key, text).
+    def links(self, lines: list[tuple[tuple, str, Outline | None]]) -> list[tuple[int, int]]:
+        """Links (as indices) that span, with those of earlier buckets, each group of similar ``lines`` (key, text, outline).
 
         A group grows from one line, over the lines that no group has yet; lines that are joined already need no look.
         """
@@ -198,14 +242,17 @@ class Compared:
             todo = [left.pop(0)]
             while todo and left:
                 i = todo.pop()
-                key, text = lines[i]
+                key, text, outline = lines[i]
                 mine: dict[int, tuple[set, set]] = {}
                 top, rest = self.top(key), []
                 for j in left:
-                    other, other_text = lines[j]
+                    other, other_text, other_outline = lines[j]
                     if (below := self.top(other)) == top:
                         todo.append(j)
                         continue
+                    if outline is not None and other_outline is not None and outline.unlike(other_outline):
+                        rest.append(j)
+                        continue
                     pair = (key, other) if key < other else (other, key)
                     if pair in self.unlike:
                         rest.append(j)
@@ -259,15 +306,44 @@ def band_rows(docs: DataFrame) -> DataFrame:
     return mapped(docs, of, "bucket long, a long")
 
 
+def shared_buckets(bands: DataFrame) -> DataFrame:
+    """(bucket, a), each once, of buckets with different lines.
+
+    Rows are dealt by bucket; a task gathers them as numbers, and throws away what repeats whenever it has read PRUNE rows.
+    """
+    to = arrow_schema("bucket long, a long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def distinct() -> np.ndarray:
+            rows = np.concatenate(held)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            return rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+            n += batch.num_rows
+            if n > PRUNE:
+                held, n = [distinct()], 0
+        if not held or not sum(map(len, held)):
+            return
+        rows = distinct()
+        same = rows[1:, 0] == rows[:-1, 0]
+        rows = rows[np.r_[same, False] | np.r_[False, same]]
+        for at in range(0, len(rows), 100_000):
+            yield as_batch({"bucket": pa.array(rows[at : at + 100_000, 0]), "a": pa.array(rows[at : at + 100_000, 1])}, to)
+
+    return bands.repartition("bucket").mapInArrow(run, "bucket long, a long")
+
+
 def candidates(docs: DataFrame, tables: Tables) -> DataFrame:
     """(kin, bucket, a, x, y): lines of buckets with different lines; those of one (bucket, x, y) are to be compared.
 
     Buckets of up to KIN lines that share their smallest line, BANDS + NARROW_BANDS of them at most, have the same ``kin``.  Parts of a
     large bucket are paired up: a line stands in each pair that its part is in.
     """
-    of = Window.partitionBy("bucket")
-    found = band_rows(docs).withColumns({"lo": F.min("a").over(of), "hi": F.max("a").over(of)}).where("lo < hi").select("bucket", "a").distinct()
-    found = tables.put(found)
+    found = tables.put(shared_buckets(band_rows(docs)))
     # Buckets of the same lines, from other bands, are compared once: sums of two hashes tell them apart.
     sums = [F.sum(F.pmod(F.xxhash64("a", F.lit(i)), F.lit(1 << 44))).alias(f"s{i}") for i in (1, 2)]
     sizes = found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi"), *sums)
@@ -289,7 +365,7 @@ def marks(lines: DataFrame) -> np.ndarray:
 
 
 def marked_lines(docs: DataFrame, bits, tables: Tables) -> DataFrame:
-    """(a, b, doc_id, v, line, text): the marked lines, each once, at its first place."""
+    """(a, b, doc_id, v, line, text, bits, n, wide): the marked lines, each once, at its first place, short ones with their outlines."""
 
     def of(batch: pa.RecordBatch) -> dict | None:
         line, row, number = lines_of(batch.column("text").to_pylist())
@@ -308,8 +384,19 @@ def marked_lines(docs: DataFrame, bits, tables: Tables) -> DataFrame:
         places = {name: [p[k] for p in first.values()] for k, name in enumerate(("doc_id", "v", "line"))}
         return {"a": pa.array(keys[i, 0]), "b": pa.array(keys[i, 1]), **places, "text": list(first)}
 
-    found = mapped(docs, of, "a long, b long, doc_id long, v long, line int, text string")
-    return tables.put(found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "v", "line", "text")).alias("first")).select("a", "b", "first.*"))
+    def outlined(batch: pa.RecordBatch) -> dict:
+        texts = batch.column("text").to_pylist()
+        short = [i for i, x in enumerate(texts) if len(x) <= SHORT]
+        bits, n, wide = [None] * len(texts), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
+        if short:
+            made, n[short], wide[short] = outlines([texts[i] for i in short])
+            for i, x in zip(short, made):
+                bits[i] = x
+        return {c: batch.column(c) for c in ("a", "b", "doc_id", "v", "line", "text")} | {"bits": bits, "n": pa.array(n), "wide": pa.array(wide)}
+
+    schema = "a long, b long, doc_id long, v long, line int, text string"
+    found = mapped(docs, of, schema).groupBy("a", "b").agg(F.min(F.struct("doc_id", "v", "line", "text")).alias("first")).select("a", "b", "first.*")
+    return tables.put(mapped(found, outlined, schema + ", bits binary, n int, wide int"))
 
 
 def links(docs: DataFrame, tables: Tables) -> DataFrame:
@@ -327,7 +414,7 @@ def links(docs: DataFrame, tables: Tables) -> DataFrame:
 
         def compare() -> None:
             place = [{"doc_id": r[2], "v": r[3], "line": r[4]} for r in rows]
-            out.extend((place[i], place[j]) for i, j in known.links([(r[:2], r[5]) for r in rows]))
+            out.extend((place[i], place[j]) for i, j in known.links([(r[:2], r[5], None if r[6] is None else Outline(*r[6:])) for r in rows]))
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -346,7 +433,7 @@ def links(docs: DataFrame, tables: Tables) -> DataFrame:
 
     joined = pairs.join(lines, "a")
     dealt = joined.repartition("kin", "x", "y").sortWithinPartitions("kin", "x", "y", "bucket")
-    return dealt.select("kin", "x", "y", "bucket", "a", "b", "doc_id", "v", "line", "text").mapInArrow(verify, schema)
+    return dealt.select("kin", "x", "y", "bucket", "a", "b", "doc_id", "v", "line", "text", "bits", "n", "wide").mapInArrow(verify, schema)
 
 
 def removals(docs: DataFrame, tables: Tables) -> DataFrame:
