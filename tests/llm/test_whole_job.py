@@ -135,11 +135,20 @@ def test_outlines_reject_nothing_that_is_similar():
         for _ in range(draw.randint(0, 4)):
             other[draw.randrange(len(other))] = draw.choice("abcdefgh0123 ")
         lines.append("".join(other)[:160])
-    made = [linededup.Outline(*x) for x in zip(*linededup.outlines(lines))]
+    lines += [" ".join(draw.choices(words, k=60))[:400] for _ in range(100)]
+    for line in lines[-100:]:
+        at = draw.randrange(300)
+        lines.append(line[:at] + "changed here" + line[at + draw.randint(0, 30) :])
+    made = []
+    for x in lines:
+        wide = linededup.outlines([x], linededup.SHINGLE, linededup.LONG_BITS)
+        narrow = linededup.outlines([x], linededup.NARROW, linededup.SHORT_BITS)
+        made.append(linededup.Outline(narrow[0][0], int(narrow[1][0]), int(wide[1][0])) if len(x) <= linededup.SHORT else linededup.Outline(wide[0][0], 0, int(wide[1][0])))
     rejected = 0
     for i, a in enumerate(lines):
         for j in range(i):
-            alike = any(len(x & y) >= linededup.THRESHOLD * len(x | y) for x, y in ((linededup.shingles(a, w), linededup.shingles(lines[j], w)) for w in (linededup.NARROW, linededup.SHINGLE)))
+            short = max(len(a), len(lines[j])) <= linededup.SHORT
+            alike = any(len(x & y) >= linededup.THRESHOLD * len(x | y) for x, y in ((linededup.shingles(a, w), linededup.shingles(lines[j], w)) for w in ((linededup.NARROW, linededup.SHINGLE) if short else (linededup.SHINGLE,))))
             assert not (alike and made[i].unlike(made[j])), (a, lines[j])
             rejected += not alike and made[i].unlike(made[j])
     assert rejected > 0.9 * len(lines) * (len(lines) - 1) / 2

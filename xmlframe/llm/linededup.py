@@ -54,6 +54,8 @@ HELD = 1_000_000
 PROBE = 64
 #: Rows of a line from which it counts as common (or a thousandth of all lines, so that there are few).
 COMMON = 100_000
+#: Bits of the outlines of short lines and of others.
+SHORT_BITS, LONG_BITS = 256, 1024
 #: Rows of buckets that a task holds before it throws away what repeats (16 bytes each).
 PRUNE = 4_000_000
 #: Bits that mark candidate lines.
@@ -164,46 +166,45 @@ def similar(a: set[str], b: set[str], probe: set[str]) -> bool:
     return both >= THRESHOLD * (len(a) + len(b) - both)
 
 
-def outlines(lines: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """For each short line 256 bits, which of them its NARROW shingles fall on, and the numbers of its different shingles of
-    both widths (by 32 bits of hash: one too few now and then)."""
-    counts, bits = [], None
-    for width in (NARROW, SHINGLE):
-        padded = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
-        code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-        length = np.array([len(x) for x in padded], np.int64)
-        within = np.ones(len(code), bool)
-        within[(np.cumsum(length)[:, None] - np.arange(1, width)).ravel()] = False
-        h = shingle_hashes(code, width)
-        h = h[within[: len(h)]]
-        row = np.repeat(np.arange(len(lines)), length - width + 1)
-        counts.append(np.bincount(np.unique(row << 32 | h) >> 32, minlength=len(lines)))
-        if bits is None:
-            bits = np.zeros((len(lines), 256), bool)
-            bits[row, h >> np.uint32(24)] = True
-    return [x.tobytes() for x in np.packbits(bits, axis=1)], *counts
+def outlines(lines: list[str], width: int, size: int) -> tuple[list[bytes], np.ndarray]:
+    """For each line ``size`` bits, which of them its shingles fall on, and the number of its different shingles (by 32 bits
+    of hash: one too few now and then)."""
+    padded = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
+    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.array([len(x) for x in padded], np.int64)
+    within = np.ones(len(code), bool)
+    within[(np.cumsum(length)[:, None] - np.arange(1, width)).ravel()] = False
+    h = shingle_hashes(code, width)
+    h = h[within[: len(h)]]
+    row = np.repeat(np.arange(len(lines)), length - width + 1)
+    bits = np.zeros((len(lines), size), bool)
+    bits[row, h >> np.uint32(33 - size.bit_length())] = True
+    return [x.tobytes() for x in np.packbits(bits, axis=1)], np.bincount(np.unique(row << 32 | h) >> 32, minlength=len(lines))
 
 
 class Outline:
-    """What tells that two short lines cannot be similar, without a look at their shingles.
+    """What tells that two lines cannot be similar, without a look at their shingles.
 
     A bit that only one line has stands for a shingle that only it has, so the number of such bits bounds the common
-    shingles from above.  A missing NARROW shingle is missing in the SHINGLE that begins with it, if it is not one of the
-    line's last.
+    shingles from above.  Bits are of NARROW shingles for short lines, of SHINGLE for others; a missing NARROW shingle is
+    missing in the SHINGLE that begins with it, if it is not one of the line's last.
     """
 
-    __slots__ = ("bits", "n", "wide")
+    __slots__ = ("bits", "short", "n", "wide")
 
     def __init__(self, bits: bytes, n: int, wide: int):
-        self.bits, self.n, self.wide = int.from_bytes(bits), n, wide
+        self.bits, self.short, self.n, self.wide = int.from_bytes(bits), len(bits) * 8 == SHORT_BITS, n, wide
 
     def unlike(self, other: Outline) -> bool:
+        if self.short != other.short:  # compared by SHINGLE, of which the larger set must not have many more
+            return min(self.wide, other.wide) + 2 < THRESHOLD * max(self.wide, other.wide)
         here, there = (self.bits & ~other.bits).bit_count(), (other.bits & ~self.bits).bit_count()
-        least = THRESHOLD * (self.n + other.n) / (1 + THRESHOLD) - 2  # common shingles that it takes, and some slack
-        if here <= self.n - least and there <= other.n - least:
-            return False
-        least, last = THRESHOLD * (self.wide + other.wide) / (1 + THRESHOLD) - 2, SHINGLE - NARROW
-        return here - last > self.wide - least or there - last > other.wide - least
+        wide, last = THRESHOLD * (self.wide + other.wide) / (1 + THRESHOLD) - 2, SHINGLE - NARROW if self.short else 0  # common shingles that it takes, and some slack
+        if self.short:
+            least = THRESHOLD * (self.n + other.n) / (1 + THRESHOLD) - 2
+            if here <= self.n - least and there <= other.n - least:
+                return False
+        return here - last > self.wide - wide or there - last > other.wide - wide
 
 
 class Compared:
@@ -211,11 +212,11 @@ class Compared:
 
     def __init__(self):
         self.sets: dict[tuple, set[str]] = {}
-        self.root: dict[tuple, tuple] = {}
+        self.root: dict[int, int] = {}
         self.unlike: set[tuple] = set()
         self.held = 0
 
-    def set_of(self, key: tuple, text: str, width: int = SHINGLE) -> set[str]:
+    def set_of(self, key: int, text: str, width: int = SHINGLE) -> set[str]:
         if (found := self.sets.get((key, width))) is None:
             if self.held > HELD:
                 self.sets.clear()
@@ -224,13 +225,13 @@ class Compared:
             self.held += len(found)
         return found
 
-    def top(self, key: tuple) -> tuple:
+    def top(self, key: int) -> int:
         while (up := self.root.get(key, key)) != key:
             self.root[key] = self.root.get(up, up)
             key = up
         return key
 
-    def links(self, lines: list[tuple[tuple, str, Outline | None]]) -> list[tuple[int, int]]:
+    def links(self, lines: list[tuple[int, str, Outline]]) -> list[tuple[int, int]]:
         """Links (as indices) that span, with those of earlier buckets, each group of similar ``lines`` (key, text, outline).
 
         A group grows from one line, over the lines that no group has yet; lines that are joined already need no look.
@@ -250,7 +251,7 @@ class Compared:
                     if (below := self.top(other)) == top:
                         todo.append(j)
                         continue
-                    if outline is not None and other_outline is not None and outline.unlike(other_outline):
+                    if outline.unlike(other_outline):
                         rest.append(j)
                         continue
                     pair = (key, other) if key < other else (other, key)
@@ -316,23 +317,28 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
-        def distinct() -> np.ndarray:
-            rows = np.concatenate(held)
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            return rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
+        def shared(rows: np.ndarray) -> np.ndarray:
+            """The rows whose bucket is there twice, in order of buckets."""
+            rows = rows[:, np.argsort(rows[0])]
+            same = rows[0, 1:] == rows[0, :-1]
+            return rows[:, np.r_[same, False] | np.r_[False, same]]
+
+        def distinct(rows: np.ndarray) -> np.ndarray:
+            rows = rows[:, np.lexsort((rows[1], rows[0]))]
+            return rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)]]
 
         for batch in batches:
-            held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
             n += batch.num_rows
             if n > PRUNE:
-                held, n = [distinct()], 0
-        if not held or not sum(map(len, held)):
+                held = [distinct(np.concatenate(held, axis=1))]
+                n = PRUNE // 2  # so that much is read before the next time, however much is left
+        if not sum(x.shape[1] for x in held):
             return
-        rows = distinct()
-        same = rows[1:, 0] == rows[:-1, 0]
-        rows = rows[np.r_[same, False] | np.r_[False, same]]
-        for at in range(0, len(rows), 100_000):
-            yield as_batch({"bucket": pa.array(rows[at : at + 100_000, 0]), "a": pa.array(rows[at : at + 100_000, 1])}, to)
+        rows = shared(np.concatenate(held, axis=1))
+        rows = shared(distinct(rows)) if rows.shape[1] else rows
+        for at in range(0, rows.shape[1], 100_000):
+            yield as_batch({"bucket": pa.array(rows[0, at : at + 100_000]), "a": pa.array(rows[1, at : at + 100_000])}, to)
 
     return bands.repartition("bucket").mapInArrow(run, "bucket long, a long")
 
@@ -365,7 +371,7 @@ def marks(lines: DataFrame) -> np.ndarray:
 
 
 def marked_lines(docs: DataFrame, bits, tables: Tables) -> DataFrame:
-    """(a, b, doc_id, v, line, text, bits, n, wide): the marked lines, each once, at its first place, short ones with their outlines."""
+    """(id, a, b, doc_id, v, line, text, bits, n, wide): the marked lines, each once, at its first place, numbered, with their outlines."""
 
     def of(batch: pa.RecordBatch) -> dict | None:
         line, row, number = lines_of(batch.column("text").to_pylist())
@@ -386,35 +392,36 @@ def marked_lines(docs: DataFrame, bits, tables: Tables) -> DataFrame:
 
     def outlined(batch: pa.RecordBatch) -> dict:
         texts = batch.column("text").to_pylist()
-        short = [i for i, x in enumerate(texts) if len(x) <= SHORT]
-        bits, n, wide = [None] * len(texts), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
-        if short:
-            made, n[short], wide[short] = outlines([texts[i] for i in short])
-            for i, x in zip(short, made):
-                bits[i] = x
-        return {c: batch.column(c) for c in ("a", "b", "doc_id", "v", "line", "text")} | {"bits": bits, "n": pa.array(n), "wide": pa.array(wide)}
-
-    schema = "a long, b long, doc_id long, v long, line int, text string"
-    found = mapped(docs, of, schema).groupBy("a", "b").agg(F.min(F.struct("doc_id", "v", "line", "text")).alias("first")).select("a", "b", "first.*")
-    return tables.put(mapped(found, outlined, schema + ", bits binary, n int, wide int"))
-
-
-def links(docs: DataFrame, tables: Tables) -> DataFrame:
-    """Verified links (u, v) between the first places (doc_id, v, line) of different lines."""
-    spark = docs.sparkSession
-    pairs = candidates(docs, tables)
-    bits = spark.sparkContext.broadcast(marks(pairs.select("a").distinct()))
-    lines = marked_lines(docs, bits, tables)
-    schema = "u struct<doc_id:long,v:long,line:int>, v struct<doc_id:long,v:long,line:int>"
-    to = arrow_schema(schema)
+        bits, n, wide = [b""] * len(texts), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
+        for is_short in (True, False):
+            of = [i for i, x in enumerate(texts) if (len(x) <= SHORT) == is_short]
+            if of:
+                some = [texts[i] for i in of]
+                made, counted = outlines(some, NARROW, SHORT_BITS) if is_short else outlines(some, SHINGLE, LONG_BITS)
+                n[of], wide[of] = counted, outlines(some, SHINGLE, SHORT_BITS)[1] if is_short else counted
+                for i, x in zip(of, made):
+                    bits[i] = x
+        return {c: batch.column(c) for c in ("id", "a", "b", "doc_id", "v", "line", "text")} | {"bits": bits, "n": pa.array(n), "wide": pa.array(wide)}
+
+    found = mapped(docs, of, "a long, b long, doc_id long, v long, line int, text string")
+    first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "v", "line", "text")).alias("first")).select(F.monotonically_increasing_id().alias("id"), "a", "b", "first.*")
+    return tables.put(mapped(first, outlined, "id long, a long, b long, doc_id long, v long, line int, text string, bits binary, n int, wide int"))
+
+
+def links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Verified links (u, v) between the ids of different ``lines``."""
+    to = arrow_schema("u long, v long")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, key, bucket, rows = Compared(), None, None, []
-        out: list[tuple] = []
+        out: list[tuple[int, int]] = []
+        made: dict[int, Outline] = {}  # of the lines of one kin
 
         def compare() -> None:
-            place = [{"doc_id": r[2], "v": r[3], "line": r[4]} for r in rows]
-            out.extend((place[i], place[j]) for i, j in known.links([(r[:2], r[5], None if r[6] is None else Outline(*r[6:])) for r in rows]))
+            for id_, _, *outline in rows:
+                if id_ not in made:
+                    made[id_] = Outline(*outline)
+            out.extend((rows[i][0], rows[j][0]) for i, j in known.links([(r[0], r[1], made[r[0]]) for r in rows]))
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -422,6 +429,7 @@ def links(docs: DataFrame, tables: Tables) -> DataFrame:
                     compare()
                     if row[:3] != key:
                         known, key = Compared(), row[:3]
+                        made.clear()
                     bucket, rows = row[:4], []
                 rows.append(row[4:])
             if out:
@@ -433,15 +441,23 @@ def links(docs: DataFrame, tables: Tables) -> DataFrame:
 
     joined = pairs.join(lines, "a")
     dealt = joined.repartition("kin", "x", "y").sortWithinPartitions("kin", "x", "y", "bucket")
-    return dealt.select("kin", "x", "y", "bucket", "a", "b", "doc_id", "v", "line", "text", "bits", "n", "wide").mapInArrow(verify, schema)
+    return dealt.select("kin", "x", "y", "bucket", "id", "text", "bits", "n", "wide").mapInArrow(verify, "u long, v long")
 
 
 def removals(docs: DataFrame, tables: Tables) -> DataFrame:
     """(doc_id, v, gone): numbers of the lines to remove, for documents (doc_id, v, text) that have any."""
-    roots = components(links(docs, tables), tables)
-    keys = tables.put(line_keys(docs))
+    pairs = candidates(docs, tables)
+    bits = docs.sparkSession.sparkContext.broadcast(marks(pairs.select("a").distinct()))
+    lines = marked_lines(docs, bits, tables)
+    roots = components(links(pairs, lines), tables)
     place = F.struct("doc_id", "v", "line")
-    first = tables.put(keys.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots, F.col("first") == F.col("node"), "left").where("n > 1 or root is not null").select("a", "b", "n", F.coalesce("root", "first").alias("keep")))
+    # Each group of linked lines keeps the first place of any of them.
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    placed = members.join(lines.select(F.col("id").alias("node"), "a", "b", place.alias("place")), "node")
+    linked = tables.put(placed.join(placed.groupBy("root").agg(F.min("place").alias("keep")), "root").select("a", "b", "keep"))
+    keys = tables.put(line_keys(docs))
+    first = keys.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(linked, ["a", "b"], "left")
+    first = tables.put(first.where("n > 1 or keep is not null").select("a", "b", "n", F.coalesce("keep", "first").alias("keep")))
     # Lines that very many rows have (fewer than a thousand can) are broadcast; the others are joined.
     many = max(COMMON, keys.count() // 1000)
     common = F.broadcast(first.where(F.col("n") > many).drop("n"))
