@@ -139,11 +139,7 @@ def test_outlines_reject_nothing_that_is_similar():
     for line in lines[-100:]:
         at = draw.randrange(300)
         lines.append(line[:at] + "changed here" + line[at + draw.randint(0, 30) :])
-    made = []
-    for x in lines:
-        wide = linededup.outlines([x], linededup.SHINGLE, linededup.LONG_BITS)
-        narrow = linededup.outlines([x], linededup.NARROW, linededup.SHORT_BITS)
-        made.append(linededup.Outline(narrow[0][0], int(narrow[1][0]), int(wide[1][0])) if len(x) <= linededup.SHORT else linededup.Outline(wide[0][0], 0, int(wide[1][0])))
+    made = [linededup.Outline(x, bits) for x, bits in zip(lines, linededup.outlined(lines))]
     rejected = 0
     for i, a in enumerate(lines):
         for j in range(i):

@@ -166,9 +166,8 @@ def similar(a: set[str], b: set[str], probe: set[str]) -> bool:
     return both >= THRESHOLD * (len(a) + len(b) - both)
 
 
-def outlines(lines: list[str], width: int, size: int) -> tuple[list[bytes], np.ndarray]:
-    """For each line ``size`` bits, which of them its shingles fall on, and the number of its different shingles (by 32 bits
-    of hash: one too few now and then)."""
+def outlines(lines: list[str], width: int, size: int) -> list[bytes]:
+    """For each line ``size`` bits, which of them its shingles fall on."""
     padded = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
     length = np.array([len(x) for x in padded], np.int64)
@@ -176,35 +175,51 @@ def outlines(lines: list[str], width: int, size: int) -> tuple[list[bytes], np.n
     within[(np.cumsum(length)[:, None] - np.arange(1, width)).ravel()] = False
     h = shingle_hashes(code, width)
     h = h[within[: len(h)]]
-    row = np.repeat(np.arange(len(lines)), length - width + 1)
-    bits = np.zeros((len(lines), size), bool)
-    bits[row, h >> np.uint32(33 - size.bit_length())] = True
-    return [x.tobytes() for x in np.packbits(bits, axis=1)], np.bincount(np.unique(row << 32 | h) >> 32, minlength=len(lines))
+    bits = np.zeros(len(lines) * size, bool)
+    bits[np.repeat(np.arange(len(lines)) * size, length - width + 1) + (h >> np.uint32(33 - size.bit_length()))] = True
+    return [x.tobytes() for x in np.packbits(bits.reshape(len(lines), size), axis=1)]
+
+
+def outlined(lines: list[str]) -> list[bytes]:
+    """The outline of each line: of NARROW shingles for short lines, of SHINGLE for others."""
+    out = [b""] * len(lines)
+    for short in (True, False):
+        of = [i for i, x in enumerate(lines) if (len(x) <= SHORT) == short]
+        made = outlines([lines[i] for i in of], *((NARROW, SHORT_BITS) if short else (SHINGLE, LONG_BITS))) if of else []
+        for i, x in zip(of, made):
+            out[i] = x
+    return out
 
 
 class Outline:
     """What tells that two lines cannot be similar, without a look at their shingles.
 
-    A bit that only one line has stands for a shingle that only it has, so the number of such bits bounds the common
-    shingles from above.  Bits are of NARROW shingles for short lines, of SHINGLE for others; a missing NARROW shingle is
-    missing in the SHINGLE that begins with it, if it is not one of the line's last.
+    A bit that only one line has stands for a shingle that only it has, so the number of such bits is at most that of the
+    shingles that the other lacks.  A line has at most as many different shingles as places for them, and at least as many
+    as its bits.  A NARROW shingle that the other lacks is lacking in the SHINGLE that begins with it, if it is not one of
+    the line's last; different ones begin different ones.
     """
 
-    __slots__ = ("bits", "short", "n", "wide")
+    __slots__ = ("bits", "short", "least", "most", "wide_least", "wide_most")
 
-    def __init__(self, bits: bytes, n: int, wide: int):
-        self.bits, self.short, self.n, self.wide = int.from_bytes(bits), len(bits) * 8 == SHORT_BITS, n, wide
+    def __init__(self, line: str, bits: bytes):
+        self.bits, self.short = int.from_bytes(bits), len(line) <= SHORT
+        self.least, self.most = self.bits.bit_count(), max(1, len(line) - (NARROW if self.short else SHINGLE) + 1)
+        self.wide_least, self.wide_most = max(1, self.least - (SHINGLE - NARROW) * self.short), max(1, len(line) - SHINGLE + 1)
 
     def unlike(self, other: Outline) -> bool:
         if self.short != other.short:  # compared by SHINGLE, of which the larger set must not have many more
-            return min(self.wide, other.wide) + 2 < THRESHOLD * max(self.wide, other.wide)
+            return min(self.wide_most, other.wide_most) < THRESHOLD * max(self.wide_least, other.wide_least) - 1e-9
         here, there = (self.bits & ~other.bits).bit_count(), (other.bits & ~self.bits).bit_count()
-        wide, last = THRESHOLD * (self.wide + other.wide) / (1 + THRESHOLD) - 2, SHINGLE - NARROW if self.short else 0  # common shingles that it takes, and some slack
-        if self.short:
-            least = THRESHOLD * (self.n + other.n) / (1 + THRESHOLD) - 2
-            if here <= self.n - least and there <= other.n - least:
-                return False
-        return here - last > self.wide - wide or there - last > other.wide - wide
+        if _enough(here, self.most, other.least) and _enough(there, other.most, self.least):
+            return False
+        last = (SHINGLE - NARROW) * self.short
+        return not (self.short and _enough(here - last, self.wide_most, other.wide_least) and _enough(there - last, other.wide_most, self.wide_least))
+
+
+def _enough(lacking: int, most: int, least: int) -> bool:
+    """Whether a set of at most ``most``, of which another of at least ``least`` lacks so many, can be similar to it."""
+    return lacking <= (most - THRESHOLD * least) / (1 + THRESHOLD) + 1e-9
 
 
 class Compared:
@@ -371,7 +386,7 @@ def marks(lines: DataFrame) -> np.ndarray:
 
 
 def marked_lines(docs: DataFrame, bits, tables: Tables) -> DataFrame:
-    """(id, a, b, doc_id, v, line, text, bits, n, wide): the marked lines, each once, at its first place, numbered, with their outlines."""
+    """(id, a, b, doc_id, v, line, text, bits): the marked lines, each once, at its first place, numbered, with their outlines."""
 
     def of(batch: pa.RecordBatch) -> dict | None:
         line, row, number = lines_of(batch.column("text").to_pylist())
@@ -390,22 +405,12 @@ def marked_lines(docs: DataFrame, bits, tables: Tables) -> DataFrame:
         places = {name: [p[k] for p in first.values()] for k, name in enumerate(("doc_id", "v", "line"))}
         return {"a": pa.array(keys[i, 0]), "b": pa.array(keys[i, 1]), **places, "text": list(first)}
 
-    def outlined(batch: pa.RecordBatch) -> dict:
-        texts = batch.column("text").to_pylist()
-        bits, n, wide = [b""] * len(texts), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
-        for is_short in (True, False):
-            of = [i for i, x in enumerate(texts) if (len(x) <= SHORT) == is_short]
-            if of:
-                some = [texts[i] for i in of]
-                made, counted = outlines(some, NARROW, SHORT_BITS) if is_short else outlines(some, SHINGLE, LONG_BITS)
-                n[of], wide[of] = counted, outlines(some, SHINGLE, SHORT_BITS)[1] if is_short else counted
-                for i, x in zip(of, made):
-                    bits[i] = x
-        return {c: batch.column(c) for c in ("id", "a", "b", "doc_id", "v", "line", "text")} | {"bits": bits, "n": pa.array(n), "wide": pa.array(wide)}
+    def with_outline(batch: pa.RecordBatch) -> dict:
+        return {c: batch.column(c) for c in ("id", "a", "b", "doc_id", "v", "line", "text")} | {"bits": outlined(batch.column("text").to_pylist())}
 
     found = mapped(docs, of, "a long, b long, doc_id long, v long, line int, text string")
     first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "v", "line", "text")).alias("first")).select(F.monotonically_increasing_id().alias("id"), "a", "b", "first.*")
-    return tables.put(mapped(first, outlined, "id long, a long, b long, doc_id long, v long, line int, text string, bits binary, n int, wide int"))
+    return tables.put(mapped(first, with_outline, "id long, a long, b long, doc_id long, v long, line int, text string, bits binary"))
 
 
 def links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -418,9 +423,9 @@ def links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
         made: dict[int, Outline] = {}  # of the lines of one kin
 
         def compare() -> None:
-            for id_, _, *outline in rows:
+            for id_, text, bits in rows:
                 if id_ not in made:
-                    made[id_] = Outline(*outline)
+                    made[id_] = Outline(text, bits)
             out.extend((rows[i][0], rows[j][0]) for i, j in known.links([(r[0], r[1], made[r[0]]) for r in rows]))
 
         for batch in batches:
@@ -441,7 +446,7 @@ def links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
     joined = pairs.join(lines, "a")
     dealt = joined.repartition("kin", "x", "y").sortWithinPartitions("kin", "x", "y", "bucket")
-    return dealt.select("kin", "x", "y", "bucket", "id", "text", "bits", "n", "wide").mapInArrow(verify, "u long, v long")
+    return dealt.select("kin", "x", "y", "bucket", "id", "text", "bits").mapInArrow(verify, "u long, v long")
 
 
 def removals(docs: DataFrame, tables: Tables) -> DataFrame:
