@@ -139,7 +139,7 @@ def test_outlines_reject_nothing_that_is_similar():
     for line in lines[-100:]:
         at = draw.randrange(300)
         lines.append(line[:at] + "changed here" + line[at + draw.randint(0, 30) :])
-    made = [linededup.Outline(x, bits) for x, bits in zip(lines, linededup.outlined(lines))]
+    made = [linededup.Outline(*x) for x in zip(lines, *linededup.outlined(lines))]
     rejected = 0
     for i, a in enumerate(lines):
         for j in range(i):

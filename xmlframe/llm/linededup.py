@@ -180,38 +180,38 @@ def outlines(lines: list[str], width: int, size: int) -> list[bytes]:
     return [x.tobytes() for x in np.packbits(bits.reshape(len(lines), size), axis=1)]
 
 
-def outlined(lines: list[str]) -> list[bytes]:
-    """The outline of each line: of NARROW shingles for short lines, of SHINGLE for others."""
+def outlined(lines: list[str]) -> tuple[list[bytes], list[int]]:
+    """The outline of each line, of NARROW shingles for short lines, of SHINGLE for others, and the number of these."""
     out = [b""] * len(lines)
     for short in (True, False):
         of = [i for i, x in enumerate(lines) if (len(x) <= SHORT) == short]
         made = outlines([lines[i] for i in of], *((NARROW, SHORT_BITS) if short else (SHINGLE, LONG_BITS))) if of else []
         for i, x in zip(of, made):
             out[i] = x
-    return out
+    return out, [len(shingles(x)) for x in lines]
 
 
 class Outline:
     """What tells that two lines cannot be similar, without a look at their shingles.
 
     A bit that only one line has stands for a shingle that only it has, so the number of such bits is at most that of the
-    shingles that the other lacks.  A line has at most as many different shingles as places for them, and at least as many
-    as its bits.  A NARROW shingle that the other lacks is lacking in the SHINGLE that begins with it, if it is not one of
-    the line's last; different ones begin different ones.
+    shingles that the other lacks.  ``n`` is the number of different shingles.  A NARROW shingle begins a SHINGLE, if it is
+    not one of the line's last, different ones different ones: so there are about as many of these at least, and at most as
+    many as places for them, and what the other lacks of the ones it lacks of the others.
     """
 
-    __slots__ = ("bits", "short", "least", "most", "wide_least", "wide_most")
+    __slots__ = ("bits", "short", "n", "wide_least", "wide_most")
 
-    def __init__(self, line: str, bits: bytes):
-        self.bits, self.short = int.from_bytes(bits), len(line) <= SHORT
-        self.least, self.most = self.bits.bit_count(), max(1, len(line) - (NARROW if self.short else SHINGLE) + 1)
-        self.wide_least, self.wide_most = max(1, self.least - (SHINGLE - NARROW) * self.short), max(1, len(line) - SHINGLE + 1)
+    def __init__(self, line: str, bits: bytes, n: int):
+        self.bits, self.short, self.n = int.from_bytes(bits), len(line) <= SHORT, n
+        self.wide_least = max(1, n - (SHINGLE - NARROW)) if self.short else n
+        self.wide_most = max(1, len(line) - SHINGLE + 1) if self.short else n
 
     def unlike(self, other: Outline) -> bool:
         if self.short != other.short:  # compared by SHINGLE, of which the larger set must not have many more
             return min(self.wide_most, other.wide_most) < THRESHOLD * max(self.wide_least, other.wide_least) - 1e-9
         here, there = (self.bits & ~other.bits).bit_count(), (other.bits & ~self.bits).bit_count()
-        if _enough(here, self.most, other.least) and _enough(there, other.most, self.least):
+        if _enough(here, self.n, other.n) and _enough(there, other.n, self.n):
             return False
         last = (SHINGLE - NARROW) * self.short
         return not (self.short and _enough(here - last, self.wide_most, other.wide_least) and _enough(there - last, other.wide_most, self.wide_least))
@@ -386,7 +386,7 @@ def marks(lines: DataFrame) -> np.ndarray:
 
 
 def marked_lines(docs: DataFrame, bits, tables: Tables) -> DataFrame:
-    """(id, a, b, doc_id, v, line, text, bits): the marked lines, each once, at its first place, numbered, with their outlines."""
+    """(id, a, b, doc_id, v, line, text, bits, n): the marked lines, each once, at its first place, numbered, with their outlines."""
 
     def of(batch: pa.RecordBatch) -> dict | None:
         line, row, number = lines_of(batch.column("text").to_pylist())
@@ -406,11 +406,12 @@ def marked_lines(docs: DataFrame, bits, tables: Tables) -> DataFrame:
         return {"a": pa.array(keys[i, 0]), "b": pa.array(keys[i, 1]), **places, "text": list(first)}
 
     def with_outline(batch: pa.RecordBatch) -> dict:
-        return {c: batch.column(c) for c in ("id", "a", "b", "doc_id", "v", "line", "text")} | {"bits": outlined(batch.column("text").to_pylist())}
+        bits, n = outlined(batch.column("text").to_pylist())
+        return {c: batch.column(c) for c in ("id", "a", "b", "doc_id", "v", "line", "text")} | {"bits": bits, "n": n}
 
     found = mapped(docs, of, "a long, b long, doc_id long, v long, line int, text string")
     first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "v", "line", "text")).alias("first")).select(F.monotonically_increasing_id().alias("id"), "a", "b", "first.*")
-    return tables.put(mapped(first, with_outline, "id long, a long, b long, doc_id long, v long, line int, text string, bits binary"))
+    return tables.put(mapped(first, with_outline, "id long, a long, b long, doc_id long, v long, line int, text string, bits binary, n int"))
 
 
 def links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -423,9 +424,9 @@ def links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
         made: dict[int, Outline] = {}  # of the lines of one kin
 
         def compare() -> None:
-            for id_, text, bits in rows:
+            for id_, *outline in rows:
                 if id_ not in made:
-                    made[id_] = Outline(text, bits)
+                    made[id_] = Outline(*outline)
             out.extend((rows[i][0], rows[j][0]) for i, j in known.links([(r[0], r[1], made[r[0]]) for r in rows]))
 
         for batch in batches:
@@ -446,7 +447,7 @@ def links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
     joined = pairs.join(lines, "a")
     dealt = joined.repartition("kin", "x", "y").sortWithinPartitions("kin", "x", "y", "bucket")
-    return dealt.select("kin", "x", "y", "bucket", "id", "text", "bits").mapInArrow(verify, "u long, v long")
+    return dealt.select("kin", "x", "y", "bucket", "id", "text", "bits", "n").mapInArrow(verify, "u long, v long")
 
 
 def removals(docs: DataFrame, tables: Tables) -> DataFrame:
