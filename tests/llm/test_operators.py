@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -389,7 +390,8 @@ def test_kernel_is_the_plain_one():
 # 8. Line dedup.
 
 
-def plain_lines(rows):
+def plain_removed(rows):
+    """(doc_id, line number) of each line that goes."""
     places = [(linededup.plain(x), i, n) for i, t in sorted({(i, t or "") for i, t in rows}) for n, x in enumerate(t.split("\n")) if linededup.plain(x)]
     first = {}
     for p, i, n in places:
@@ -404,10 +406,11 @@ def plain_lines(rows):
         for g in s:
             seen[g].append(i)
     keep = dict(zip(lines, roots(len(lines), pairs, [first[x] for x in lines])))
-    gone = Counter()
-    for p, i, n in places:
-        gone[i] += keep[p] != (i, n)
-    return gone
+    return {(i, n) for p, i, n in places if keep[p] != (i, n)}
+
+
+def plain_lines(rows):
+    return Counter(i for i, _ in plain_removed(rows))
 
 
 def test_lines(odd, none, docs, monkeypatch):
@@ -458,6 +461,23 @@ def test_recall(spark):
     assert sum(len(found[q] & w) for q, w in want.items()) >= 0.9 * 5 * len(want)
 
 
+def test_recall_among_many_vectors(spark):
+    draw = np.random.default_rng(8)
+    centres = draw.normal(size=(500, 32))
+    x = np.concatenate([centres[draw.integers(0, 500, 25_000)] + 0.4 * draw.normal(size=(25_000, 32)), draw.normal(size=(25_000, 32))])
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 32).cast(pa.list_(pa.float64()))})).repartition(4)
+    found = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 500 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, len(x), 500):
+        cosine = unit @ unit[q]
+        cosine[q] = -2
+        hits += len(found[q] & set(np.argpartition(-cosine, 5)[:5].tolist()))
+    assert hits >= 0.9 * 5 * len(found) and len(found) == 100
+
+
 # 10. Top documents: the oracle query above, and odd cases.
 
 
@@ -576,6 +596,29 @@ def test_a_cluster_must_name_its_folder(monkeypatch):
 # The pipeline.
 
 
+def test_stages_do_what_plain_versions_do(spark, docs):
+    import corpus_pipeline as P
+
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    now = P.language(spark, docs, DATA).cache()
+    rows = {i: t for i, t in rows.items() if t and any(c.isalpha() for c in t)}
+    assert texts(now) == rows
+    gone = plain_removed(list(rows.items()))
+    rows = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows.items()}
+    now = P.line_dedup(spark, now, DATA).cache()
+    assert texts(now) == rows
+    ids = sorted(rows)
+    fp = np.array([plain_fingerprint(rows[i]) for i in ids], np.uint64)
+    near = np.argwhere(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3, 1))
+    rows = {i: rows[i] for i, r in zip(ids, roots(len(ids), near, ids)) if i == r}
+    now = P.near_dedup(spark, now, DATA).cache()
+    assert texts(now) == rows
+    rates = {r["doc_id"]: r["rate"] for r in mixing.mix_documents(now, budget=P.KEEP).collect()}
+    drawn = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 2**32 < rates[i]
+    assert texts(P.mixture(spark, now, DATA)) == {i: t for i, t in rows.items() if drawn(i)}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as P
 
