@@ -48,7 +48,7 @@ def words(text: Column) -> Column:
 
 def topic_words(rows: DataFrame, tables: Tables) -> DataFrame:
     """(lang, topics): the words, TOPICS at most, that stand for the topics of a language, counted over all ``rows`` (lang, text)."""
-    long = F.filter(words(F.col("text")), lambda w: F.length(w) >= TOPIC_LETTERS)
+    long = F.filter(F.split(F.col("text"), WHITE, -1), lambda w: F.length(w) >= TOPIC_LETTERS)
     counted = rows.select("lang", F.explode(F.array_distinct(long)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     sizes = tables.put(rows.groupBy("lang").agg(F.count("*").alias("documents")))
     if sizes.count() <= FEW_CELLS:  # a row for each language
