@@ -62,9 +62,10 @@ PRUNE = 4_000_000
 MARKS = 1 << 27
 
 _DRAW = np.random.default_rng(977)
-TIMES = _DRAW.integers(0, 1 << 31, BANDS * PER_BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Each factor gives a least and a greatest hash, so half as many as there are of these will do.
+TIMES = _DRAW.integers(0, 1 << 31, (BANDS * PER_BAND + 1) // 2, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 JOIN = _DRAW.integers(0, 1 << 31, SHINGLE.bit_length(), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-NARROW_TIMES = _DRAW.integers(0, 1 << 31, NARROW_BANDS * PER_NARROW, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+NARROW_TIMES = _DRAW.integers(0, 1 << 31, (NARROW_BANDS * PER_NARROW + 1) // 2, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def plain(line: str) -> str:
@@ -73,13 +74,18 @@ def plain(line: str) -> str:
 
 #: White space that is not as it is in the plain form: what str.split divides at, but for spaces and ends of lines.
 UNUSUAL = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["  "]
+#: Lower case of the characters up to U+00FF, which is among them too; unusual white space becomes a tab.
+LOWER = bytes(9 if chr(c) in UNUSUAL else ord(chr(c).lower()) for c in range(256))
 
 
 def plain_lines(text: str) -> list[str]:
     """``plain`` of each line; texts without unusual white space need only be cut."""
-    if any(x in text for x in UNUSUAL):
-        return [plain(x) for x in text.split("\n")]
-    return [x.strip(" ") for x in text.lower().split("\n")]
+    try:
+        low = text.encode("latin-1").translate(LOWER)
+        usual, low = b"\t" not in low and b"  " not in low, low.decode("latin-1")
+    except UnicodeEncodeError:
+        usual, low = not any(x in text for x in UNUSUAL), text.lower()
+    return [x.strip(" ") for x in low.split("\n")] if usual else [plain(x) for x in text.split("\n")]
 
 
 def lines_of(texts: list[str]) -> tuple[list[str], list[int], list[int]]:
@@ -105,19 +111,24 @@ def shingles(line: str, width: int | None = None) -> set[str]:
     return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
 
 
+def stretches(lines: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of up to ``most`` characters, or of one longer line."""
+    at, size = 0, 0
+    for i, line in enumerate(lines):
+        if size + len(line) > most and i > at:
+            yield at, i
+            at, size = i, 0
+        size += len(line)
+    if lines:
+        yield at, len(lines)
+
+
 def band_keys(lines: list[str], width: int = SHINGLE) -> np.ndarray:
     """One long for each line and band; lines of a bucket agree in all minima of the band."""
     bands, per_band, before = (BANDS, PER_BAND, 0) if width == SHINGLE else (NARROW_BANDS, PER_NARROW, BANDS)
-    padded = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
     least = np.empty((bands * per_band, len(lines)), np.uint32)
-    at = 0
-    while at < len(lines):  # stretches of about this many characters stay in cache
-        end, size = at, 0
-        while end < len(lines) and (end == at or size + len(padded[end]) <= 100_000):
-            size += len(padded[end])
-            end += 1
-        _minima(padded[at:end], least[:, at:end], width)
-        at = end
+    for at, end in stretches(lines, 200_000):  # which stay in cache
+        _minima(lines[at:end], least[:, at:end], width)
     out = np.empty((len(lines), bands), np.uint64)
     for band in range(bands):
         key = np.full(len(lines), before + band + 1, np.uint64)
@@ -142,19 +153,35 @@ def shingle_hashes(code: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return h
 
 
-def _minima(padded: list[str], out: np.ndarray, width: int = SHINGLE) -> None:
-    """The least of each line's shingle hashes under each of the width's factors."""
-    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-    length = np.array([len(x) for x in padded])
-    h = shingle_hashes(code, width)
-    ends = np.cumsum(length)
+def hashed(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of the lines one after another, and each line's number of them (a shorter line has one)."""
+    padded = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
+    joined = "".join(padded)
+    try:
+        code = np.frombuffer(joined.encode("latin-1"), np.uint8).astype(np.uint32)
+    except UnicodeEncodeError:
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.array([len(x) for x in padded], np.int64)
     within = np.ones(len(code), bool)  # no shingle runs from one line into the next
-    within[(ends[:, None] - np.arange(1, width)).ravel()] = False
-    h = h[within[: len(h)]]
-    first = np.concatenate(([0], np.cumsum(length - width + 1)[:-1]))
+    within[(np.cumsum(length)[:, None] - np.arange(1, width)).ravel()] = False
+    h = shingle_hashes(code, width)
+    return h[within[: len(h)]], length - width + 1
+
+
+def _minima(lines: list[str], out: np.ndarray, width: int = SHINGLE) -> None:
+    """The least, and further down the greatest, of each line's shingle hashes under each of the width's factors.
+
+    The greatest under a factor is the least under its negative.  Both come from one product, and are never in one band.
+    """
+    h, n = hashed(lines, width)
+    first = np.cumsum(n) - n
     turned = np.empty_like(h)
+    half = (len(out) + 1) // 2
     for i, times in enumerate(TIMES if width == SHINGLE else NARROW_TIMES):
-        np.minimum.reduceat(np.multiply(h, times, out=turned), first, out=out[i])
+        np.multiply(h, times, out=turned)
+        np.minimum.reduceat(turned, first, out=out[i])
+        if half + i < len(out):
+            np.maximum.reduceat(turned, first, out=out[half + i])
 
 
 def similar(a: set[str], b: set[str], probe: set[str]) -> bool:
@@ -166,29 +193,44 @@ def similar(a: set[str], b: set[str], probe: set[str]) -> bool:
     return both >= THRESHOLD * (len(a) + len(b) - both)
 
 
+def numbers(lines: list[str], width: int) -> list[int]:
+    """The number of each line's different shingles; one of up to eight characters up to U+00FF is a number itself."""
+    n, plain_bytes = [1] * len(lines), []
+    for i, line in enumerate(lines):
+        try:
+            plain_bytes.append((i, line.encode("latin-1")))
+        except UnicodeEncodeError:
+            n[i] = len(shingles(line, width))
+    data = b"".join(x for _, x in plain_bytes) + bytes(8)
+    codes = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)) & np.uint64((1 << 8 * width) - 1)
+    at = 0
+    for i, x in plain_bytes:
+        if len(x) > width:
+            found = np.sort(codes[at : at + len(x) - width + 1])
+            n[i] = 1 + int(np.count_nonzero(found[1:] != found[:-1]))
+        at += len(x)
+    return n
+
+
 def outlines(lines: list[str], width: int, size: int) -> list[bytes]:
     """For each line ``size`` bits, which of them its shingles fall on."""
-    padded = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
-    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-    length = np.array([len(x) for x in padded], np.int64)
-    within = np.ones(len(code), bool)
-    within[(np.cumsum(length)[:, None] - np.arange(1, width)).ravel()] = False
-    h = shingle_hashes(code, width)
-    h = h[within[: len(h)]]
+    h, n = hashed(lines, width)
     bits = np.zeros(len(lines) * size, bool)
-    bits[np.repeat(np.arange(len(lines)) * size, length - width + 1) + (h >> np.uint32(33 - size.bit_length()))] = True
+    bits[np.repeat(np.arange(len(lines)) * size, n) + (h >> np.uint32(33 - size.bit_length()))] = True
     return [x.tobytes() for x in np.packbits(bits.reshape(len(lines), size), axis=1)]
 
 
 def outlined(lines: list[str]) -> tuple[list[bytes], list[int]]:
     """The outline of each line, of NARROW shingles for short lines, of SHINGLE for others, and the number of these."""
-    out = [b""] * len(lines)
+    bits, n = [b""] * len(lines), [0] * len(lines)
     for short in (True, False):
+        width, size = (NARROW, SHORT_BITS) if short else (SHINGLE, LONG_BITS)
         of = [i for i, x in enumerate(lines) if (len(x) <= SHORT) == short]
-        made = outlines([lines[i] for i in of], *((NARROW, SHORT_BITS) if short else (SHINGLE, LONG_BITS))) if of else []
-        for i, x in zip(of, made):
-            out[i] = x
-    return out, [len(shingles(x)) for x in lines]
+        some = [lines[i] for i in of]
+        for at, end in stretches(some, 100_000):
+            for i, x, y in zip(of[at:end], outlines(some[at:end], width, size), numbers(some[at:end], width)):
+                bits[i], n[i] = x, y
+    return bits, n
 
 
 class Outline:
@@ -291,20 +333,6 @@ class Compared:
         return links
 
 
-def line_keys(docs: DataFrame) -> DataFrame:
-    """(a, b, doc_id, v, line) of each line."""
-
-    def of(batch: pa.RecordBatch) -> dict | None:
-        line, row, number = lines_of(batch.column("text").to_pylist())
-        if not line:
-            return None
-        keys = keys_of(line)
-        of = batch.select(["doc_id", "v"]).take(pa.array(row))
-        return {"a": pa.array(keys[:, 0]), "b": pa.array(keys[:, 1]), "doc_id": of.column("doc_id"), "v": of.column("v"), "line": pa.array(number, pa.int32())}
-
-    return mapped(docs, of, "a long, b long, doc_id long, v long, line int")
-
-
 def band_rows(docs: DataFrame) -> DataFrame:
     """(bucket, a): each band of each line, of short lines in both widths, lines that a batch repeats once."""
 
@@ -385,8 +413,8 @@ def marks(lines: DataFrame) -> np.ndarray:
     return out
 
 
-def marked_lines(docs: DataFrame, bits, tables: Tables) -> DataFrame:
-    """(id, a, b, doc_id, v, line, text, bits, n): the marked lines, each once, at its first place, numbered, with their outlines."""
+def placed_lines(docs: DataFrame, bits) -> DataFrame:
+    """(a, b, doc_id, v, line, text) of each line; of the places of a marked line in a batch, the first has its text too."""
 
     def of(batch: pa.RecordBatch) -> dict | None:
         line, row, number = lines_of(batch.column("text").to_pylist())
@@ -394,22 +422,28 @@ def marked_lines(docs: DataFrame, bits, tables: Tables) -> DataFrame:
             return None
         keys = keys_of(line)
         at = keys[:, 0] % MARKS
-        keep = np.flatnonzero(bits.value[at >> 6] >> (at & 63) & 1)
-        ids, v = batch.column("doc_id").to_numpy(), batch.column("v").to_numpy()
-        first: dict[str, tuple] = {}
-        for i in keep.tolist():
-            place = (int(ids[row[i]]), int(v[row[i]]), number[i], i)
-            if line[i] not in first or place < first[line[i]]:
-                first[line[i]] = place
-        i = np.array([p[3] for p in first.values()], np.int64)
-        places = {name: [p[k] for p in first.values()] for k, name in enumerate(("doc_id", "v", "line"))}
-        return {"a": pa.array(keys[i, 0]), "b": pa.array(keys[i, 1]), **places, "text": list(first)}
+        ids, v = batch.column("doc_id").to_numpy()[row], batch.column("v").to_numpy()[row]
+        first: dict[str, int] = {}
+        for i in np.flatnonzero(bits.value[at >> 6] >> (at & 63) & 1).tolist():
+            j = first.setdefault(line[i], i)
+            if i != j and (ids[i], v[i], number[i]) < (ids[j], v[j], number[j]):
+                first[line[i]] = i
+        text: list[str | None] = [None] * len(line)
+        for x, i in first.items():
+            text[i] = x
+        return {"a": pa.array(keys[:, 0]), "b": pa.array(keys[:, 1]), "doc_id": pa.array(ids), "v": pa.array(v), "line": number, "text": text}
+
+    return mapped(docs, of, "a long, b long, doc_id long, v long, line int, text string")
+
+
+def marked_lines(placed: DataFrame, tables: Tables) -> DataFrame:
+    """(id, a, b, doc_id, v, line, text, bits, n): the lines with a text, each once, at its first place, numbered, with their outlines."""
 
     def with_outline(batch: pa.RecordBatch) -> dict:
         bits, n = outlined(batch.column("text").to_pylist())
         return {c: batch.column(c) for c in ("id", "a", "b", "doc_id", "v", "line", "text")} | {"bits": bits, "n": n}
 
-    found = mapped(docs, of, "a long, b long, doc_id long, v long, line int, text string")
+    found = placed.where("text is not null")
     first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "v", "line", "text")).alias("first")).select(F.monotonically_increasing_id().alias("id"), "a", "b", "first.*")
     return tables.put(mapped(first, with_outline, "id long, a long, b long, doc_id long, v long, line int, text string, bits binary, n int"))
 
@@ -454,14 +488,15 @@ def removals(docs: DataFrame, tables: Tables) -> DataFrame:
     """(doc_id, v, gone): numbers of the lines to remove, for documents (doc_id, v, text) that have any."""
     pairs = candidates(docs, tables)
     bits = docs.sparkSession.sparkContext.broadcast(marks(pairs.select("a").distinct()))
-    lines = marked_lines(docs, bits, tables)
+    placed = tables.put(placed_lines(docs, bits))
+    lines = marked_lines(placed, tables)
     roots = components(links(pairs, lines), tables)
     place = F.struct("doc_id", "v", "line")
     # Each group of linked lines keeps the first place of any of them.
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    placed = members.join(lines.select(F.col("id").alias("node"), "a", "b", place.alias("place")), "node")
-    linked = tables.put(placed.join(placed.groupBy("root").agg(F.min("place").alias("keep")), "root").select("a", "b", "keep"))
-    keys = tables.put(line_keys(docs))
+    members = members.join(lines.select(F.col("id").alias("node"), "a", "b", place.alias("place")), "node")
+    linked = tables.put(members.join(members.groupBy("root").agg(F.min("place").alias("keep")), "root").select("a", "b", "keep"))
+    keys = placed.drop("text")
     first = keys.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(linked, ["a", "b"], "left")
     first = tables.put(first.where("n > 1 or keep is not null").select("a", "b", "n", F.coalesce("keep", "first").alias("keep")))
     # Lines that very many rows have (fewer than a thousand can) are broadcast; the others are joined.
