@@ -2,7 +2,7 @@
 
 Lines are compared in a plain form: lower case, runs of white space as one space, none at the ends.  Equal lines are
 grouped exactly by 128 bits of hash.  Different lines are compared by their sets of SHINGLE characters: signatures of
-BANDS * PER_BAND minima make candidates of lines that agree in a whole band, and every candidate is verified by its exact
+BANDS * PER_BAND least or greatest hashes make candidates of lines that agree in a whole band, and every candidate is verified by its exact
 Jaccard similarity.  An edit inside a line changes SHINGLE shingles on each side, which a short line cannot bear: lines of up
 to SHORT characters are compared by their sets of NARROW characters as well, and linked if either similarity is enough.  Each component of the verified links keeps one line, the first by (doc_id, line number).
 
@@ -124,7 +124,7 @@ def stretches(lines: list[str], most: int) -> Iterator[tuple[int, int]]:
 
 
 def band_keys(lines: list[str], width: int = SHINGLE) -> np.ndarray:
-    """One long for each line and band; lines of a bucket agree in all minima of the band."""
+    """One long for each line and band; lines of a bucket agree in all of the band's."""
     bands, per_band, before = (BANDS, PER_BAND, 0) if width == SHINGLE else (NARROW_BANDS, PER_NARROW, BANDS)
     least = np.empty((bands * per_band, len(lines)), np.uint32)
     for at, end in stretches(lines, 200_000):  # which stay in cache
