@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from xmlframe.llm import common, langid, linededup, mixing, secrets
+from conftest import DATA
+from xmlframe.llm import common, graph, langid, linededup, mixing, secrets
 
 # 3. Mixing, sized.
 
@@ -148,3 +149,40 @@ def test_outlines_reject_nothing_that_is_similar():
             assert not (alike and made[i].unlike(made[j])), (a, lines[j])
             rejected += not alike and made[i].unlike(made[j])
     assert rejected > 0.9 * len(lines) * (len(lines) - 1) / 2
+
+
+# The driver's memory: neither plans of many small steps nor samples.
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_small_graphs_are_joined_up_at_once_as_in_steps(spark, monkeypatch, kind):
+    draw = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 400)] + [(700, i) for i in range(701, 1100)] + [(draw.randrange(2000, 2600), draw.randrange(2000, 2600)) for _ in range(250)] + [(5, 5)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((top(u), top(v)))
+        root[b] = a
+    want = sorted((x, top(x)) for x in root if top(x) != x)
+    df = spark.createDataFrame(edges, "u long, v long").repartition(3).select(*[F.lpad(F.col(c).cast("string"), 4, "0").cast(kind).alias(c) for c in ("u", "v")])
+    written = []
+    for most in (graph.AT_ONCE, 0):
+        monkeypatch.setattr(graph, "AT_ONCE", most)
+        tables = common.Tables(spark, "test")
+        found = graph.components(df, tables).distinct().collect()
+        assert sorted((int(r["node"]), int(r["root"])) for r in found if r["node"] != r["root"]) == want
+        written.append(tables.n)
+    assert written[0] == 2 < written[1]
+    assert graph.components(df.where(F.lit(False)), common.Tables(spark, "test")).count() == 0
+
+
+def test_language_sample_stays_off_the_driver(spark, monkeypatch):
+    docs = common.read(spark, DATA, "documents")
+    monkeypatch.setattr(type(docs), "toArrow", None)
+    assert langid.fit(docs).langs == sorted(r[0] for r in docs.where("lang is not null").select("lang").distinct().collect())
+    assert langid.fit(docs.withColumn("text", F.lit("1"))).langs == []

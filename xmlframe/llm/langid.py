@@ -18,13 +18,16 @@ with a null doc_id, are not held out and not learned from; other columns are ign
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learnable, mapped, prepare, share, text_of
+from .common import arrow_schema, as_batch, held_out, learnable, mapped, prepare, share, text_of
 
 MOST = 4
 DIMS = 1 << 13
@@ -119,11 +122,19 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         places = [np.flatnonzero(r).astype(np.int32) for r in made]
         return {"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "place": places, "value": [r[p] for r, p in zip(made, places)]}
 
-    sample = mapped(picked, of, "doc_id long, lang string, place array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    held = np.zeros((sample.num_rows, DIMS), np.float32)
-    for row, place, value in zip(held, sample.column("place"), sample.column("value")):
-        row[place.values.to_numpy()] = value.values.to_numpy()
-    return Model(held, sample.column("lang").to_pylist())
+    schema = "doc_id long, lang string, place array<int>, value array<float>"
+    to, out = arrow_schema(schema), arrow_schema("model binary")
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = pa.Table.from_batches([b for b in batches if b.num_rows], to).sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+        held = np.zeros((sample.num_rows, DIMS), np.float32)
+        for row, place, value in zip(held, sample.column("place"), sample.column("value")):
+            row[place.values.to_numpy()] = value.values.to_numpy()
+        yield as_batch({"model": [pickle.dumps(Model(held, sample.column("lang").to_pylist()))]}, out)
+
+    # One task learns, so that the driver holds the model and not the sample.
+    found = mapped(picked, of, schema).repartition(1).mapInArrow(learned, "model binary").first()
+    return pickle.loads(found["model"]) if found else Model(np.empty((0, DIMS), np.float32), [])
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
