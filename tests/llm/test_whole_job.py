@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
-from xmlframe.llm import common, graph, langid, linededup, mixing, secrets
+from xmlframe.llm import common, graph, langid, linededup, mixing, secrets, topk
 
 # 3. Mixing, sized.
 
@@ -186,3 +186,17 @@ def test_language_sample_stays_off_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "toArrow", None)
     assert langid.fit(docs).langs == sorted(r[0] for r in docs.where("lang is not null").select("lang").distinct().collect())
     assert langid.fit(docs.withColumn("text", F.lit("1"))).langs == []
+
+
+# 10. Top documents: texts are cut into words once, however many parts the queries have.
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    docs, made = common.read(spark, DATA, "documents"), []
+    whole = sorted(map(tuple, topk.top_documents(docs, F.col("doc_id") % 20 == 0).collect()))
+    monkeypatch.setattr(topk, "QUERY_TERMS", 600)
+    number = topk.numbered
+    monkeypatch.setattr(topk, "numbered", lambda *a: made.append(1) or number(*a))
+    assert sorted(map(tuple, topk.top_documents(docs, F.col("doc_id") % 20 == 0).collect())) == whole and len(made) == 1
+    monkeypatch.setattr(topk, "VOCABULARY", 10)
+    assert sorted(map(tuple, topk.top_documents(docs, F.col("doc_id") % 20 == 0).collect())) == whole and len(made) > 1

@@ -11,7 +11,9 @@ only the blocks in which some document can still reach the floor with what the t
 block.  All other postings are skipped.  What is found is exact; how much is skipped depends on the data (README).
 
 Document frequencies, the number of documents and their mean length are global, so scores of shards compare and merge exactly.
-Queries are taken in parts with at most QUERY_TERMS terms; parts are broadcast and run over all documents one by one.
+Texts are cut into words once: a table has each document's terms that any query has, as numbers, and their counts.  Queries
+are taken in parts with at most QUERY_TERMS terms; parts are broadcast and run over that table one by one.  Only where the
+queries have more than VOCABULARY different terms, each part numbers its own and reads the texts again.
 
 Terms are words between ASCII white space, A-Z in lower case.  Scores are rounded to PLACES places before they are ranked,
 so that ties do not hang on the order of a sum.
@@ -32,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, arrow_schema, as_batch, mapped, prepare, share, text_of
+from .common import Tables, arrow_schema, as_batch, mapped, prepare, share
 
 K1, B = 1.2, 0.75
 PLACES = 6
@@ -42,6 +44,8 @@ BLOCK, SHARD = 16, 16_384
 SHARD_POSTINGS = 6_000_000
 #: Terms of the queries that are broadcast at once.
 QUERY_TERMS = 2_000_000
+#: Different terms of queries that are numbered at once.
+VOCABULARY = 4_000_000
 #: Part of the floor that the terms before the pivot may reach.
 LIGHT = 0.35
 #: Documents of the sample that gives each query its first floor, about.
@@ -60,47 +64,68 @@ def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[s
     return both // max(1, len(terms)), both % max(1, len(terms)), n, terms, np.bincount(owner, minlength=len(texts))
 
 
+class Vocabulary:
+    """Terms and their numbers, sent without the numbers."""
+
+    def __init__(self, terms: pa.Array):
+        self.terms, self._number = terms, None
+
+    def __getstate__(self) -> pa.Array:
+        return self.terms
+
+    def __setstate__(self, terms: pa.Array) -> None:
+        self.terms, self._number = terms, None
+
+    def numbers(self, terms: list[str]) -> np.ndarray:
+        """Of each term, -1 if it has none."""
+        if self._number is None:
+            self._number = {t: i for i, t in enumerate(self.terms.to_pylist())}
+        get = self._number.get
+        return np.array([get(t, -1) for t in terms], np.int64)
+
+
 class Queries:
-    """A part of the queries, terms as numbers."""
-
-    def __init__(self, rows: list):
-        terms = sorted({t for r in rows for t in r["terms"]})
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.ids = [r["doc_id"] for r in rows]
-        self.terms, self.weights = [], []
-        for r in rows:
-            at = np.array([self.number[t] for t in r["terms"]], np.int64)
-            order = np.argsort(at)
-            self.terms.append(at[order])
-            self.weights.append(np.array(r["counts"], np.float64)[order])
-
-    def lookup(self, row: np.ndarray, code: np.ndarray, n: np.ndarray, terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of counted terms those that a query has: (row, number, count)."""
-        get = self.number.get
-        to = np.array([get(t, -1) for t in terms], np.int64)
-        number = to[code] if len(terms) else code
+    """A part of the queries, their terms as numbers from 0 in order of the vocabulary's."""
+
+    def __init__(self, rows: pa.Table):
+        self.ids = rows.column("doc_id").to_pylist()
+        self.used = np.unique(rows.column("term").combine_chunks().flatten().to_numpy())
+        self.terms = [np.searchsorted(self.used, x.values.to_numpy()) for x in rows.column("term")]
+        self.weights = [x.values.to_numpy().astype(np.float64) for x in rows.column("n")]
+
+
+def numbered(docs: DataFrame, held) -> DataFrame:
+    """(doc_id, asked, words, term, n) of each of ``docs`` (doc_id, text, asked): numbers and counts of its terms that queries have."""
+
+    def of(batch: pa.RecordBatch) -> dict:
+        row, code, n, terms, lengths = counted(batch.column("text"))
+        number = held.value.numbers(terms)[code] if terms else code
         keep = number >= 0
-        return row[keep], number[keep], n[keep]
+        row, number, n = row[keep], number[keep], n[keep]
+        order = np.lexsort((number, row))
+        cut = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(cut, pa.array(x[order], pa.int32())) for x in (number, n)]
+        return {"doc_id": batch.column("doc_id"), "asked": batch.column("asked"), "words": pa.array(lengths, pa.int64()), "term": lists[0], "n": lists[1]}
+
+    return mapped(docs, of, "doc_id long, asked boolean, words long, term array<int>, n array<int>")
 
 
-def statistics(docs: DataFrame, held) -> tuple[np.ndarray, int, float]:
-    """(document frequency of each query term, number of documents, mean length), over all documents."""
+def statistics(table: DataFrame, terms: int) -> tuple[np.ndarray, int, float]:
+    """(document frequency of each of ``terms`` numbers, number of documents, mean length), over all documents."""
     to = arrow_schema("term long, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = held.value
-        total, documents, words = np.zeros(len(queries.number), np.int64), 0, 0
+        total, documents, words = np.zeros(terms, np.int64), 0, 0
         for batch in batches:
-            row, code, n, terms, lengths = counted(batch.column("text"))
-            total += np.bincount(queries.lookup(row, code, n, terms)[1], minlength=len(total))
+            total += np.bincount(batch.column("term").flatten().to_numpy(), minlength=terms)
             documents += batch.num_rows
-            words += int(lengths.sum())
+            words += pc.sum(batch.column("words")).as_py() or 0
         at = np.flatnonzero(total)
         yield as_batch({"term": pa.array(np.r_[at, -1, -2]), "n": pa.array(np.r_[total[at], documents, words])}, to)
 
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most QUERY_TERMS + 2 rows
+    rows = table.select("words", "term").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
     term, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
-    frequency = np.zeros(len(held.value.number), np.int64)
+    frequency = np.zeros(terms, np.int64)
     frequency[term[term >= 0]] = n[term >= 0]
     documents, words = int(n[term == -1].sum()), int(n[term == -2].sum())
     return frequency, documents, words / max(1, documents)
@@ -184,21 +209,23 @@ class Shard:
         return np.round(total[hit], PLACES), self.ids[hit]
 
 
-def search(docs: DataFrame, held, stats, k: int) -> DataFrame:
-    """(query_id, doc_id, score): the best k of each partition for each query, those below its floor left out."""
+def search(table: DataFrame, held, stats, k: int) -> DataFrame:
+    """(query_id, doc_id, score): the best k of each partition of ``numbered`` for each query, those below its floor left out."""
     from .ann import Best
 
     to = arrow_schema("query_id long, doc_id long, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, (idf, mean, floors) = held.value, stats.value
+        to_own = np.full(int(queries.used[-1]) + 2, -1)  # the last for all numbers beyond
+        to_own[queries.used] = np.arange(len(queries.used))
         best = Best(len(queries.ids), k)
         kept: list[tuple] = []
         documents = postings = 0
 
         def flush() -> None:
             ids = np.concatenate([x[0] for x in kept])
-            shard = Shard(ids, *(np.concatenate([x[i] for x in kept]) for i in (1, 2, 3)), len(queries.number))
+            shard = Shard(ids, *(np.concatenate([x[i] for x in kept]) for i in (1, 2, 3)), len(queries.used))
             for q, (own, terms, weights) in enumerate(zip(queries.ids, queries.terms, queries.weights)):
                 floor = max(best.score[q, -1], floors[q])
                 score, found = shard.search(own, terms, weights, k, floor)
@@ -208,9 +235,10 @@ def search(docs: DataFrame, held, stats, k: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, code, n, terms, lengths = counted(batch.column("text"))
-            row, number, n = queries.lookup(row, code, n, terms)
-            tf = n.astype(np.float64)
+            term, lengths = batch.column("term"), batch.column("words").to_numpy()
+            row, number = pc.list_parent_indices(term).to_numpy().astype(np.int64), to_own[np.minimum(term.flatten().to_numpy(), len(to_own) - 1)]
+            keep = number >= 0
+            row, number, tf = row[keep], number[keep], batch.column("n").flatten().to_numpy()[keep].astype(np.float64)
             impact = idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / max(mean, 1e-9)))
             kept.append((batch.column("doc_id").to_numpy(), row + documents, number, impact))
             documents += batch.num_rows
@@ -223,7 +251,7 @@ def search(docs: DataFrame, held, stats, k: int) -> DataFrame:
         q, r = np.nonzero(best.score > -np.inf)
         yield as_batch({"query_id": pa.array(np.array(queries.ids, np.int64)[q]), "doc_id": pa.array(best.id[q, r]), "score": pa.array(best.score[q, r])}, to)
 
-    return docs.mapInArrow(run, "query_id long, doc_id long, score double")
+    return table.select("doc_id", "words", "term", "n").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def first_floors(seeds: DataFrame, ids: list[int], k: int) -> np.ndarray:
@@ -242,27 +270,34 @@ def top_documents(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "d
     spark = df.sparkSession
     prepare(spark)
     tables = Tables(spark, "topk")
-    docs = text_of(df, id_col, text_col)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(is_query, F.lit(False)).alias("asked"))
 
     def terms_of(batch: pa.RecordBatch) -> dict:
-        row, code, n, terms, _ = counted(batch.column("text"))
+        row, code, _, terms, _ = counted(batch.column("text"))
         cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        return {"doc_id": batch.column("doc_id"), "terms": [[terms[c] for c in code[a:b]] for a, b in zip(cut, cut[1:])], "counts": [n[a:b] for a, b in zip(cut, cut[1:])]}
+        return {"doc_id": batch.column("doc_id"), "terms": [[terms[c] for c in code[a:b]] for a, b in zip(cut, cut[1:])]}
 
-    named = docs.where("doc_id is not null")
-    asked = tables.put(mapped(text_of(df.where(is_query), id_col, text_col).where("doc_id is not null"), terms_of, "doc_id long, terms array<string>, counts array<long>").where(F.size("terms") > 0))
+    asked = tables.put(mapped(docs.where("asked and doc_id is not null").select("doc_id", "text"), terms_of, "doc_id long, terms array<string>").where(F.size("terms") > 0))
     parts = math.ceil((asked.agg(F.sum(F.size("terms"))).first()[0] or 0) / QUERY_TERMS)
-    found = sample = None
+    part_of = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(parts))
+    few = not parts or asked.select(F.explode("terms").alias("t")).agg(F.count_distinct("t")).first()[0] <= VOCABULARY
+    found = table = None
     for p in range(parts):
-        rows = asked.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(parts)) == p).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-        if not rows:
+        if table is None or not few:
+            mine = asked if few else asked.where(part_of == p)
+            terms = mine.select(F.explode("terms").alias("t")).distinct().sort("t").toArrow().column("t").combine_chunks()
+            if not len(terms):
+                continue
+            table = tables.put(numbered(docs, spark.sparkContext.broadcast(Vocabulary(terms))))
+            frequency, documents, mean = statistics(table, len(terms))
+            named = table.where("doc_id is not null")
+            sample = tables.put(named.where(share(F.col("doc_id"), 29) < min(1.0, SEED / max(1, documents))).coalesce(spark.sparkContext.defaultParallelism))
+        rows = named.where("asked").where(F.size("term") > 0).where(part_of == p).dropDuplicates(["doc_id"]).orderBy("doc_id").select("doc_id", "term", "n").toArrow()
+        if not rows.num_rows:
             continue
         queries = Queries(rows)
         held = spark.sparkContext.broadcast(queries)
-        frequency, documents, mean = statistics(docs, held)
-        idf = np.log1p((documents - frequency + 0.5) / (frequency + 0.5))
-        if sample is None:
-            sample = tables.put(named.where(share(F.col("doc_id"), 29) < min(1.0, SEED / max(1, documents))).coalesce(spark.sparkContext.defaultParallelism))
+        idf = np.log1p((documents - frequency + 0.5) / (frequency + 0.5))[queries.used]
         floors = np.full(len(queries.ids), -np.inf)
         seeds = search(sample, held, spark.sparkContext.broadcast((idf, mean, floors)), k)
         floors = first_floors(seeds, queries.ids, k)
