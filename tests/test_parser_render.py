@@ -136,3 +136,29 @@ def test_short_way_reads_what_the_parser_reads():
         text = draw.choice(["", '<?xml version="1.0"?>\n', "<!DOCTYPE r>", "  "]) + "<r>" + "".join(draw.choices(PIECES, k=draw.randint(0, 6))) + "</r>" + draw.choice(["", "\n", "x"])
         preserve, depth, name = draw.random() < 0.3, draw.choice([0, 1, 2, 256]), draw.choice(["repair", "error", "ignore"])
         assert read(lambda: parse_document(text, preserve, depth, name)) == read(lambda: _Parser(text, preserve, depth, name, "1.0").document()), text
+
+
+def test_long_batches_are_taken_in_pieces(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from xmlframe import XmlCodec
+    from xmlframe.functions.xml import PIECE, by_row, decode_entities_result, parse_xml, pieces
+
+    texts = pa.array(["x" * (PIECE // 4)] * 10 + [None, "", "y" * (3 * PIECE)] + ["z"] * 1000)
+    found = [some for (some,) in pieces(texts)]
+    assert pa.concat_arrays(found).equals(texts)
+    assert all(len(some) == 1 or some.nbytes <= PIECE for some in found)
+    assert [len(a) == len(b) for a, b in pieces(texts, pa.array(range(len(texts))))].count(False) == 0
+    assert list(pieces(texts.slice(0, 0))) == []
+
+    # The first results are given back before the batch is read to its end.
+    given = by_row(lambda text: {"value": text}, T._parse_datatype_string("value string")).func(iter([texts]))
+    assert len(next(given)) < 10 and sum(map(len, given)) > 1000
+
+    rows = spark.range(300, numPartitions=1).select("id", F.concat(F.lit("<a>"), F.repeat(F.lit("b"), 20_000), F.col("id"), F.lit("</a>")).alias("x"))
+    codec = XmlCodec("string", "a")
+    parsed = rows.select("id", parse_xml("x")["value"].alias("p"), codec.decode("x")["value"].alias("d"), decode_entities_result("x")["value"].alias("e"), "x")
+    good = [F.sum(F.col(c).endswith(F.concat(F.lit("b"), F.col("id"), F.lit(end))).cast("int")) for c, end in (("p", '"'), ("d", ""), ("e", "</a>"))]
+    assert list(parsed.agg(*good, F.sum((F.col("e") == F.col("x")).cast("int"))).first()) == [300] * 4

@@ -2,16 +2,21 @@
 
 Each call makes a function of its own, marked nondeterministic so that Spark evaluates it once for each row even where a
 filter and a projection both use its result.  Filters on other columns belong before it.
+
+An Arrow batch of long documents is large, and its Python objects and results are a multiple of that, so a function takes it
+in pieces of PIECE bytes and gives back each piece's results before the next.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..core import entities as E
 from ..core import parser as P
@@ -24,8 +29,41 @@ DECODED = "value string, error struct<tag:string,message:string>"
 RENDERED = "value string, error struct<message:string>"
 
 
-def _once(function, schema: str, *cols: Column) -> Column:
-    return F.pandas_udf(function, schema).asNondeterministic()(*cols)
+#: Bytes of input, as Arrow has them, whose objects and results a function holds at a time; a longer row is a piece alone.
+PIECE = 1 << 20
+
+
+def pieces(*columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """The columns of a batch in slices of up to PIECE bytes together, or of one row."""
+    left = [columns]
+    while left:
+        some = left.pop()
+        n = len(some[0])
+        if n > 1 and sum(c.nbytes for c in some) > PIECE:
+            left += [tuple(c.slice(n // 2) for c in some), tuple(c.slice(0, n // 2) for c in some)]
+        elif n:
+            yield some
+
+
+def by_row(one: Callable, returned: T.DataType):
+    """An Arrow function of one column, or of two, from a function of one row's values."""
+    arrow = to_arrow_type(returned)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for (column,) in pieces(batch):
+                yield pa.array(map(one, column.to_pylist()), arrow)
+
+    def run_two(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for a, b in pieces(*batch):
+                yield pa.array(map(one, a.to_pylist(), b.to_pylist()), arrow)
+
+    return F.arrow_udf(run if one.__code__.co_argcount == 1 else run_two, returned)
+
+
+def _once(one: Callable, schema: str, *cols: Column) -> Column:
+    return by_row(one, T._parse_datatype_string(schema)).asNondeterministic()(*cols)
 
 
 def to_json(value: object) -> str:
@@ -50,33 +88,31 @@ def parse_xml(col: Column | str, preserve_whitespace: bool = False, max_depth: i
 
 
 def _parser(preserve_whitespace: bool = False, max_depth: int = 256, name: str = "repair", xml_version: str = "1.0"):
-    def one(text: str) -> tuple:
+    def one(text: str | None) -> dict:
+        if text is None:
+            return {}
         try:
             root, value = P.parse_document(text, preserve_whitespace, max_depth, name, xml_version)
-            return root, to_json(value), None
+            return {"name": root, "value": to_json(value)}
         except P.XmlParseError as e:
-            return None, None, {"message": e.message, "position": e.position, "input": e.input}
+            return {"error": {"message": e.message, "position": e.position, "input": e.input}}
 
-    def parse(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None, None) if t is None else one(t) for t in texts], columns=["name", "value", "error"], dtype=object)
-
-    return F.pandas_udf(parse, PARSED)
+    return by_row(one, T._parse_datatype_string(PARSED))
 
 
 def render_xml(col: Column | str, **options) -> Column:
     """struct(value, error): XML text of a tree given as JSON text."""
     R.Renderer(**options)
 
-    def one(text: str) -> tuple:
+    def one(text: str | None) -> dict:
+        if text is None:
+            return {}
         try:
-            return R.render_xml(json.loads(text), **options), None
+            return {"value": R.render_xml(json.loads(text), **options)}
         except (R.XmlRenderError, ValueError) as e:
-            return None, {"message": str(e)}
-
-    def render(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if t is None else one(t) for t in texts], columns=["value", "error"], dtype=object)
+            return {"error": {"message": str(e)}}
 
-    return _once(render, RENDERED, F.col(col) if isinstance(col, str) else col)
+    return _once(one, RENDERED, F.col(col) if isinstance(col, str) else col)
 
 
 def decode_entities_result(col: Column | str, policy: Mapping | None = None, external: Mapping | None = None, input_entities: Column | None = None) -> Column:
@@ -88,21 +124,20 @@ def decode_entities_result(col: Column | str, policy: Mapping | None = None, ext
     checked.set_external_entities(external)  # names and hooks are checked when the query is made
     policy, external = dict(policy or {}), dict(external or {})
 
-    def one(text, entities) -> tuple:
+    def one(text, entities) -> dict:
+        if text is None:
+            return {}
         decoder = E.EntityDecoder(**policy)
         try:
             decoder.set_external_entities(external)
             if entities is not None:
                 decoder.add_input_entities(dict(entities))
-            return (decoder.decode(text) if isinstance(text, str) else to_json([decoder.decode(t) for t in text])), None
+            return {"value": decoder.decode(text) if isinstance(text, str) else to_json([decoder.decode(t) for t in text])}
         except XmlError as e:
-            return None, {"tag": e.tag, "message": e.message}
-
-    def decode(texts: pd.Series, entities: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if t is None else one(t, m) for t, m in zip(texts, entities)], columns=["value", "error"], dtype=object)
+            return {"error": {"tag": e.tag, "message": e.message}}
 
     given = input_entities if input_entities is not None else F.lit(None).cast("map<string,string>")
-    return _once(decode, DECODED, F.col(col) if isinstance(col, str) else col, given)
+    return _once(one, DECODED, F.col(col) if isinstance(col, str) else col, given)
 
 
 def decode_entities(col: Column | str) -> Column:
@@ -112,15 +147,15 @@ def decode_entities(col: Column | str) -> Column:
     ampersand last, so that what it makes is not read again.
     """
 
-    def decode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else E.decode_default(t))
+    def one(text: str | None) -> str | None:
+        return text if text is None else E.decode_default(text)
 
     col = F.col(col) if isinstance(col, str) else col
     named = col
     for entity, character in sorted(E.PREDEFINED.items(), key=lambda e: e[0] == "amp"):
         named = F.replace(named, F.lit(f"&{entity};"), F.lit(character))
     numeric = col.contains("&#")
-    return F.when(numeric, _once(decode, "string", F.when(numeric, col))).when(col.contains("&"), named).otherwise(col)
+    return F.when(numeric, _once(one, "string", F.when(numeric, col))).when(col.contains("&"), named).otherwise(col)
 
 
 def is_xml_value(col: Column | str) -> Column:
@@ -132,7 +167,7 @@ def is_xml_value(col: Column | str) -> Column:
         except (ValueError, RecursionError):
             return False
 
-    return F.coalesce(_once(lambda s: s.map(one), "boolean", F.col(col) if isinstance(col, str) else col), F.lit(True))
+    return F.coalesce(_once(one, "boolean", F.col(col) if isinstance(col, str) else col), F.lit(True))
 
 
 def xml_value_or_error(col: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..core import decode as D
 from ..core.parser import XmlParseError, parse_document
-from ..functions.xml import observed
+from ..functions.xml import observed, pieces
 from ..plans.encode import Encoder, RenderOptions
 from ..plans.schema import SINGLE_KEY, plan, pruned, types
 
@@ -82,7 +82,8 @@ class XmlCodec:
                     logging.getLogger("xmlframe").error("XML parse error: %s", error["message"])
                 return {"value": None, "error": error}
 
-            return pa.array([one(d) for d in documents.to_pylist()], arrow)
+            # Trees and values are held for a piece at a time.
+            return pa.concat_arrays([pa.array([], arrow), *(pa.array([one(d) for d in some.to_pylist()], arrow) for (some,) in pieces(documents))])
 
         return F.arrow_udf(read, returned)
 
