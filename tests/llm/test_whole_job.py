@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,32 @@ def test_texts_are_cut_into_words_once(spark, monkeypatch):
     assert sorted(map(tuple, topk.top_documents(docs, F.col("doc_id") % 20 == 0).collect())) == whole and len(made) == 1
     monkeypatch.setattr(topk, "VOCABULARY", 10)
     assert sorted(map(tuple, topk.top_documents(docs, F.col("doc_id") % 20 == 0).collect())) == whole and len(made) > 1
+
+
+def test_codes_say_what_sets_of_shingles_say():
+    draw = random.Random(5)
+    lines = ["".join(draw.choices("ab é\0", k=draw.randint(1, 300))) for _ in range(40)] + ["ĳ" + "x" * 40, "abc"]
+    lines += [x[:k] + "y" + x[k + 1 :] for x in lines[:40] for k in (0, len(x) // 2)]
+    for width in (linededup.NARROW, linededup.SHINGLE):
+        codes = [linededup.coded(x, width) for x in lines]
+        assert [c is None for c in codes] == [len(x) < width or "ĳ" in x for x in lines]
+        some = [(c, linededup.shingles(x, width)) for c, x in zip(codes, lines) if c is not None]
+        assert all(len(c) == len(s) for c, s in some)
+        alike = [len(s & t) >= linededup.THRESHOLD * len(s | t) for _, s in some for _, t in some]
+        assert alike == [linededup.similar_codes(c, d) for c, _ in some for d, _ in some] and any(alike) and not all(alike)
+
+
+def test_bands_are_packed(spark):
+    """A task sends a row for each share of the buckets, not for each band of each line; nothing is lost on the way."""
+    texts = [f"line {i % 700} of some length, with more words {i % 7}\nand a line of {i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, v long, text string").repartition(2)
+    shares = linededup.SHARES * 4
+    sent = linededup.band_rows(docs, shares).collect()
+    lines = len(set(linededup.lines_of(texts)[0]))
+    found = {tuple(x) for r in sent for x in np.frombuffer(r["rows"], np.int64).reshape(-1, 2).tolist()}
+    assert len(found) == lines * (linededup.BANDS + linededup.NARROW_BANDS) and len(sent) <= 4 * shares
+    want: dict = {}
+    for bucket, a in found:
+        want.setdefault(bucket, set()).add(a)
+    got = {tuple(r) for r in linededup.shared_buckets(docs).collect()}
+    assert got == {(b, a) for b, of in want.items() if len(of) > 1 for a in of}

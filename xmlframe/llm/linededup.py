@@ -23,11 +23,12 @@ come after all others and keep the null.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ NARROW_BANDS, PER_NARROW = 21, 7
 BUCKET = 4096
 #: Lines of a bucket up to which it is read together with others.
 KIN = 256
-#: Shingles whose sets are kept for the next bucket (about 100 bytes each).
+#: Shingles whose sets are kept for the next bucket (8 bytes each as numbers, about 100 as text).
 HELD = 1_000_000
 #: Shingles of a line that are looked up in another before all are.
 PROBE = 64
@@ -58,6 +59,8 @@ COMMON = 100_000
 SHORT_BITS, LONG_BITS = 256, 1024
 #: Rows of buckets that a task holds before it throws away what repeats (16 bytes each).
 PRUNE = 4_000_000
+#: Rows of buckets that are packed up at once, and shares of the buckets to a task, so many that tasks get about as much.
+PACK, SHARES = 500_000, 16
 #: Bits that mark candidate lines.
 MARKS = 1 << 27
 
@@ -193,6 +196,32 @@ def similar(a: set[str], b: set[str], probe: set[str]) -> bool:
     return both >= THRESHOLD * (len(a) + len(b) - both)
 
 
+def coded(line: str, width: int) -> np.ndarray | None:
+    """The line's set of shingles as sorted numbers that say the shingles themselves; None where eight bytes cannot say them."""
+    if len(line) < width:
+        return None
+    try:
+        data = line.encode("latin-1") + bytes(8 - width)
+    except UnicodeEncodeError:
+        return None
+    codes = np.ndarray(len(line) - width + 1, "<u8", data, strides=(1,))
+    codes = np.sort((codes & np.uint64((1 << 8 * width) - 1)).astype(np.uint32) if width <= 4 else codes)
+    first = np.empty(len(codes), bool)
+    first[0] = True
+    np.not_equal(codes[1:], codes[:-1], out=first[1:])
+    return codes[first]
+
+
+def similar_codes(a: np.ndarray, b: np.ndarray) -> bool:
+    """``similar``, of two sets as ``coded`` has them."""
+    if min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)) - 1e-9:
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= THRESHOLD * (len(a) + len(b) - common)
+
+
 def numbers(lines: list[str], width: int) -> list[int]:
     """The number of each line's different shingles; one of up to eight characters up to U+00FF is a number itself."""
     n, plain_bytes = [1] * len(lines), []
@@ -239,24 +268,29 @@ class Outline:
     A bit that only one line has stands for a shingle that only it has, so the number of such bits is at most that of the
     shingles that the other lacks.  ``n`` is the number of different shingles.  A NARROW shingle begins a SHINGLE, if it is
     not one of the line's last, different ones different ones: so there are about as many of these at least, and at most as
-    many as places for them, and what the other lacks of the ones it lacks of the others.
+    many as places for them, and what the other lacks of the ones it lacks of the others.  Of the line its length will do.
     """
 
-    __slots__ = ("bits", "short", "n", "wide_least", "wide_most")
+    __slots__ = ("bits", "set", "short", "n", "wide_least", "wide_most")
 
-    def __init__(self, line: str, bits: bytes, n: int):
-        self.bits, self.short, self.n = int.from_bytes(bits), len(line) <= SHORT, n
+    def __init__(self, line: str | int, bits: bytes, n: int):
+        length = line if isinstance(line, int) else len(line)
+        self.bits, self.short, self.n = int.from_bytes(bits), length <= SHORT, n
+        self.set = self.bits.bit_count()
         self.wide_least = max(1, n - (SHINGLE - NARROW)) if self.short else n
-        self.wide_most = max(1, len(line) - SHINGLE + 1) if self.short else n
+        self.wide_most = max(1, length - SHINGLE + 1) if self.short else n
 
     def unlike(self, other: Outline) -> bool:
         if self.short != other.short:  # compared by SHINGLE, of which the larger set must not have many more
             return min(self.wide_most, other.wide_most) < THRESHOLD * max(self.wide_least, other.wide_least) - 1e-9
-        here, there = (self.bits & ~other.bits).bit_count(), (other.bits & ~self.bits).bit_count()
+        both = (self.bits & other.bits).bit_count()
+        here, there = self.set - both, other.set - both
         if _enough(here, self.n, other.n) and _enough(there, other.n, self.n):
             return False
-        last = (SHINGLE - NARROW) * self.short
-        return not (self.short and _enough(here - last, self.wide_most, other.wide_least) and _enough(there - last, other.wide_most, self.wide_least))
+        if not self.short:
+            return True
+        last = SHINGLE - NARROW
+        return not (_enough(here - last, self.wide_most, other.wide_least) and _enough(there - last, other.wide_most, self.wide_least))
 
 
 def _enough(lacking: int, most: int, least: int) -> bool:
@@ -264,23 +298,51 @@ def _enough(lacking: int, most: int, least: int) -> bool:
     return lacking <= (most - THRESHOLD * least) / (1 + THRESHOLD) + 1e-9
 
 
+class Line:
+    """A line in a bucket: its number, its outline, and its text, which few lines are asked for."""
+
+    __slots__ = ("key", "outline", "texts", "at")
+
+    def __init__(self, key: int, outline: Outline, texts: pa.Array, at: int):
+        self.key, self.outline, self.texts, self.at = key, outline, texts, at
+
+    @property
+    def text(self) -> str:
+        return self.texts[self.at].as_py()
+
+
 class Compared:
     """What is known of the lines in buckets of one ``kin``: sets, links, and pairs that are unlike."""
 
     def __init__(self):
-        self.sets: dict[tuple, set[str]] = {}
+        self.sets: dict[tuple, set[str] | np.ndarray | None] = {}
         self.root: dict[int, int] = {}
         self.unlike: set[tuple] = set()
         self.held = 0
 
-    def set_of(self, key: int, text: str, width: int = SHINGLE) -> set[str]:
-        if (found := self.sets.get((key, width))) is None:
+    def _kept(self, make: Callable, line: Line, width: int):
+        at = make, line.key, width
+        if at not in self.sets:
             if self.held > HELD:
                 self.sets.clear()
                 self.held = 0
-            found = self.sets[key, width] = shingles(text, width)
-            self.held += len(found)
-        return found
+            found = self.sets[at] = make(line.text, width)
+            self.held += 0 if found is None else len(found)
+            return found
+        return self.sets[at]
+
+    def similar(self, a: Line, b: Line) -> bool:
+        """Whether either similarity of the two lines is enough."""
+        for width in (NARROW, SHINGLE) if a.outline.short and b.outline.short else (SHINGLE,):
+            mine, other = self._kept(coded, a, width), self._kept(coded, b, width)
+            if mine is not None and other is not None:
+                like = similar_codes(mine, other)
+            else:
+                own = self._kept(shingles, a, width)
+                like = similar(own, self._kept(shingles, b, width), set(islice(own, PROBE)))
+            if like:
+                return True
+        return False
 
     def top(self, key: int) -> int:
         while (up := self.root.get(key, key)) != key:
@@ -288,8 +350,8 @@ class Compared:
             key = up
         return key
 
-    def links(self, lines: list[tuple[int, str, Outline]]) -> list[tuple[int, int]]:
-        """Links (as indices) that span, with those of earlier buckets, each group of similar ``lines`` (key, text, outline).
+    def links(self, lines: list[Line]) -> list[tuple[int, int]]:
+        """Links (as indices) that span, with those of earlier buckets, each group of similar ``lines``.
 
         A group grows from one line, over the lines that no group has yet; lines that are joined already need no look.
         """
@@ -300,29 +362,22 @@ class Compared:
             todo = [left.pop(0)]
             while todo and left:
                 i = todo.pop()
-                key, text, outline = lines[i]
-                mine: dict[int, tuple[set, set]] = {}
+                line = lines[i]
+                key, unlike = line.key, line.outline.unlike
                 top, rest = self.top(key), []
                 for j in left:
-                    other, other_text, other_outline = lines[j]
-                    if (below := self.top(other)) == top:
+                    other = lines[j]
+                    if (below := self.top(other.key)) == top:
                         todo.append(j)
                         continue
-                    if outline.unlike(other_outline):
+                    if unlike(other.outline):
                         rest.append(j)
                         continue
-                    pair = (key, other) if key < other else (other, key)
+                    pair = (key, other.key) if key < other.key else (other.key, key)
                     if pair in self.unlike:
                         rest.append(j)
                         continue
-                    like = False
-                    for width in (SHINGLE,) if max(len(text), len(other_text)) > SHORT else (NARROW, SHINGLE):
-                        if width not in mine:
-                            own = self.set_of(key, text, width)
-                            mine[width] = own, set(islice(own, PROBE))
-                        if like := similar(mine[width][0], self.set_of(other, other_text, width), mine[width][1]):
-                            break
-                    if like:
+                    if self.similar(line, other):
                         links.append((i, j))
                         self.root[below] = top
                         todo.append(j)
@@ -333,10 +388,15 @@ class Compared:
         return links
 
 
-def band_rows(docs: DataFrame) -> DataFrame:
-    """(bucket, a): each band of each line, of short lines in both widths, lines that a batch repeats once."""
+def band_rows(docs: DataFrame, shares: int) -> DataFrame:
+    """(share, rows): each band of each line, of short lines in both widths, lines that a batch repeats once.
 
-    def of(batch: pa.RecordBatch) -> dict | None:
+    ``rows`` are pairs of longs, bucket and a, of the buckets of one share.  A task packs up to PACK of them at a time: Spark
+    takes as long for a row of two numbers as for one of hundreds.
+    """
+    to = arrow_schema("share int, rows binary")
+
+    def of(batch: pa.RecordBatch) -> np.ndarray | None:
         line = list(dict.fromkeys(lines_of(batch.column("text").to_pylist())[0]))
         if not line:
             return None
@@ -345,16 +405,40 @@ def band_rows(docs: DataFrame) -> DataFrame:
         if len(short := np.flatnonzero([len(x) <= SHORT for x in line])):
             narrow = band_keys([line[i] for i in short.tolist()], NARROW).ravel()
             bucket, of = np.concatenate((bucket, narrow)), np.concatenate((of, np.repeat(a[short], NARROW_BANDS)))
-        return {"bucket": pa.array(bucket), "a": pa.array(of)}
+        return np.stack((bucket, of), axis=1)
+
+    def packed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        share = (rows[:, 0] % shares).astype(np.int32)
+        order = np.argsort(share)
+        rows, share = rows[order], share[order]
+        begins = np.flatnonzero(np.r_[True, share[1:] != share[:-1]])
+        ends = [*begins[1:].tolist(), len(rows)]
+        for i in range(0, len(begins), 1000):
+            some = zip(begins[i : i + 1000].tolist(), ends[i : i + 1000])
+            yield as_batch({"share": pa.array(share[begins[i : i + 1000]]), "rows": [rows[x:y].tobytes() for x, y in some]}, to)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if (rows := of(batch)) is not None:
+                held.append(rows)
+                n += len(rows)
+            if n >= PACK:
+                yield from packed(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield from packed(np.concatenate(held))
 
-    return mapped(docs, of, "bucket long, a long")
+    return docs.mapInArrow(run, "share int, rows binary")
 
 
-def shared_buckets(bands: DataFrame) -> DataFrame:
+def shared_buckets(docs: DataFrame) -> DataFrame:
     """(bucket, a), each once, of buckets with different lines.
 
-    Rows are dealt by bucket; a task gathers them as numbers, and throws away what repeats whenever it has read PRUNE rows.
+    Rows are dealt by shares of the buckets; a task gathers them as numbers, and throws away what repeats whenever it has
+    read PRUNE rows.
     """
+    shares = SHARES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     to = arrow_schema("bucket long, a long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,8 +455,8 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
             return rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)]]
 
         for batch in batches:
-            held.append(np.stack([c.to_numpy() for c in batch.columns]))
-            n += batch.num_rows
+            held.append(np.frombuffer(b"".join(batch.column("rows").to_pylist()), np.int64).reshape(-1, 2).T)
+            n += held[-1].shape[1]
             if n > PRUNE:
                 held = [distinct(np.concatenate(held, axis=1))]
                 n = PRUNE // 2  # so that much is read before the next time, however much is left
@@ -383,7 +467,7 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
         for at in range(0, rows.shape[1], 100_000):
             yield as_batch({"bucket": pa.array(rows[0, at : at + 100_000]), "a": pa.array(rows[1, at : at + 100_000])}, to)
 
-    return bands.repartition("bucket").mapInArrow(run, "bucket long, a long")
+    return band_rows(docs, shares).repartition("share").mapInArrow(run, "bucket long, a long")
 
 
 def candidates(docs: DataFrame, tables: Tables) -> DataFrame:
@@ -392,7 +476,7 @@ def candidates(docs: DataFrame, tables: Tables) -> DataFrame:
     Buckets of up to KIN lines that share their smallest line, BANDS + NARROW_BANDS of them at most, have the same ``kin``.  Parts of a
     large bucket are paired up: a line stands in each pair that its part is in.
     """
-    found = tables.put(shared_buckets(band_rows(docs)))
+    found = tables.put(shared_buckets(docs))
     # Buckets of the same lines, from other bands, are compared once: sums of two hashes tell them apart.
     sums = [F.sum(F.pmod(F.xxhash64("a", F.lit(i)), F.lit(1 << 44))).alias(f"s{i}") for i in (1, 2)]
     sizes = found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi"), *sums)
@@ -453,25 +537,32 @@ def links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     to = arrow_schema("u long, v long")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, key, bucket, rows = Compared(), None, None, []
+        known, last, rows = Compared(), None, []
+        made: dict[int, Line] = {}  # the lines of one kin
         out: list[tuple[int, int]] = []
-        made: dict[int, Outline] = {}  # of the lines of one kin
 
         def compare() -> None:
-            for id_, *outline in rows:
-                if id_ not in made:
-                    made[id_] = Outline(*outline)
-            out.extend((rows[i][0], rows[j][0]) for i, j in known.links([(r[0], r[1], made[r[0]]) for r in rows]))
+            out.extend((rows[i].key, rows[j].key) for i, j in known.links(rows))
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:4] != bucket:
+            if not batch.num_rows:
+                continue
+            of = np.stack([c.to_numpy() for c in batch.columns[:4]])
+            ids, n, bits = (batch.column(c).to_pylist() for c in ("id", "n", "bits"))
+            text = batch.column("text")
+            lengths = pc.utf8_length(text).to_pylist()
+            begins = np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1
+            for at, end in pairwise([0, *begins.tolist(), len(ids)]):
+                if (bucket := tuple(of[:, at].tolist())) != last:
                     compare()
-                    if row[:3] != key:
-                        known, key = Compared(), row[:3]
+                    if last is None or bucket[:3] != last[:3]:
+                        known = Compared()
                         made.clear()
-                    bucket, rows = row[:4], []
-                rows.append(row[4:])
+                    last, rows = bucket, []
+                for i in range(at, end):
+                    if (line := made.get(ids[i])) is None:
+                        line = made[ids[i]] = Line(ids[i], Outline(lengths[i], bits[i], n[i]), text, i)
+                    rows.append(line)
             if out:
                 yield as_batch({"u": [u for u, _ in out], "v": [v for _, v in out]}, to)
                 out.clear()
